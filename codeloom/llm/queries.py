@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import packing, splitting, tokens
+from codeloom.llm import packing, parsing, splitting, tokens
 from codeloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,14 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(table(spark, d, "code_chunks"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.found(table(spark, d, "source_files"))
+
+
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.rates(table(spark, d, "source_files"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), F.col("doc_id"), F.col("text"))
 
@@ -30,7 +38,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), F.col("doc_id"), F.col("text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_pieces, p8_ids, p9_containers)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_pieces, p7_found, p7_rates, p8_ids, p9_containers)}
 
 ORACLE: dict[str, str] = {
     "p3_found": r"""
