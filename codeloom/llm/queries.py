@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import docpairs, neighbours, packing, parsing, splitting, tokens
+from codeloom.llm import docpairs, neardup, neighbours, packing, parsing, splitting, tokens
 from codeloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,15 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(table(spark, d, "code_chunks"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar(table(spark, d, "code_chunks")).select("hash_a", "hash_b")
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "code_chunks")
+    return neardup.groups(chunks, neardup.similar(chunks))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.pairs(neighbours.nearest(table(spark, d, "code_chunks")))
 
@@ -50,7 +59,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), F.col("doc_id"), F.col("text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_pieces, p5_found, p7_found, p7_rates, p8_ids, p9_containers)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p7_found, p7_rates, p8_ids, p9_containers)}
 
 ORACLE: dict[str, str] = {
     "p3_found": r"""
