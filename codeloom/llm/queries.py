@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import docpairs, neardup, neighbours, packing, parsing, splitting, tokens
+from codeloom.llm import docpairs, neardup, neighbours, packing, parsing, secrets, splitting, tokens
 from codeloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,14 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.extract(table(spark, d, "source_files")).distinct()
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find(table(spark, d, "code_chunks")).select("row_id", "line_no").distinct()
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redact(table(spark, d, "code_chunks"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     cut = splitting.split_long(table(spark, d, "code_chunks")).select("row_id", F.explode(F.array(F.lit(0), "cut_line")).alias("line_no"))
     return cut.distinct()
@@ -59,7 +67,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), F.col("doc_id"), F.col("text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p7_found, p7_rates, p8_ids, p9_containers)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_redacted, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p7_found, p7_rates, p8_ids, p9_containers)}
 
 ORACLE: dict[str, str] = {
     "p3_found": r"""
