@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import docpairs, neardup, neighbours, packing, parsing, secrets, splitting, tokens
+from codeloom.llm import docpairs, neardup, neighbours, packing, parsing, provenance, secrets, splitting, tokens
 from codeloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.pairs(neighbours.nearest(table(spark, d, "code_chunks")))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.classify(table(spark, d, "code_chunks"), table(spark, d, "upstream_files")).where("not by_hand").select("repo_id", "file_path")
+
+
+def p6_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Of each repository with jobs: its files, and those that were written by hand."""
+    of = provenance.classify(table(spark, d, "code_chunks"), table(spark, d, "upstream_files"))
+    repos = table(spark, d, "jobs").where("repo_id is not null").select("repo_id").distinct()
+    return of.join(repos, "repo_id", "left_semi").groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_files"), F.count_if("by_hand").alias("n_by_hand"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return parsing.found(table(spark, d, "source_files"))
 
@@ -67,7 +78,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), F.col("doc_id"), F.col("text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_redacted, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p7_found, p7_rates, p8_ids, p9_containers)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_redacted, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p6_found, p6_kept, p7_found, p7_rates, p8_ids, p9_containers)}
 
 ORACLE: dict[str, str] = {
     "p3_found": r"""
