@@ -1,11 +1,12 @@
 """Problem 5: the k most similar vectors of every vector, by a hierarchical k-means tree.
 
-The upper tree is fitted on a bounded sample; its leaves are blocks of some thousand vectors, to
-which all vectors are sent. A query visits the blocks in order of their similarity, best bin first,
-as far as a gap that is calibrated on the sample. Within a block a tree of the block's own vectors
-goes on: leaves are again visited best bin first, in rounds that widen until the block's own
-calibration queries, answered by brute force, reach the wanted recall. Equal vectors are searched
-once, and their groups put in afterwards, so that no group of copies meets in one task.
+The upper tree is fitted on a bounded sample. Its leaves are gathered in blocks of some thousand
+vectors, to which all vectors are sent. A query visits the leaves in order of their similarity, best
+bin first, as far as a gap that is calibrated on queries answered by brute force over all vectors,
+and with them their blocks. Within a block a tree of the block's own vectors goes on: leaves are
+again visited best bin first, in rounds that widen until the block's own calibration queries,
+answered by brute force, reach the wanted recall. Equal vectors are searched once, and their groups
+put in afterwards, so that no group of copies meets in one task.
 """
 
 from __future__ import annotations
@@ -23,8 +24,12 @@ from codeloom.llm.base import written
 
 #: Vectors of the sample on which the upper tree and its gap are fitted.
 SAMPLE = 32_768
+#: Queries whose true neighbours calibrate the visits to blocks.
+QUERIES = 512
 #: Vectors that a block should hold.
 BLOCK = 8_192
+#: Vectors of the sample that a leaf of the upper tree should hold at least.
+TWIG = 24
 #: Vectors that a leaf within a block should hold.
 LEAF = 128
 
@@ -63,42 +68,69 @@ def top(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
 
 
 class UpperTree:
-    """Blocks and the gap in similarity up to which a query visits blocks after its best one."""
+    """Leaves that part the sample, and the blocks they are gathered in."""
 
-    def __init__(self, sample: np.ndarray, total: int, k: int, recall: float):
+    def __init__(self, sample: np.ndarray, total: int):
         share = total / max(1, len(sample))
-        todo = [(-len(sample) * share, 0, np.arange(len(sample)))]
+        todo = [(-len(sample) * share, 0, np.arange(len(sample)), -1)]
         leaves: list[np.ndarray] = []
-        n = 0
+        self.blocks: list[int] = []
+        n = blocks = 0
         while todo:  # the largest node is split first
-            size, _, rows = heapq.heappop(todo)
-            if -size <= 1.5 * BLOCK or len(rows) < 64:
+            size, _, rows, block = heapq.heappop(todo)
+            if block < 0 and -size <= BLOCK:
+                block, blocks = blocks, blocks + 1
+            if len(rows) < 2 * TWIG or (-size <= TWIG * 8 and block >= 0):
+                if block < 0:
+                    block, blocks = blocks, blocks + 1
                 leaves.append(rows)
+                self.blocks.append(block)
                 continue
             _, of = kmeans(sample[rows], 8, seed=n)
-            parts = [rows[of == j] for j in range(of.max() + 1)]
-            for part in parts if len([p for p in parts if len(p)]) > 1 else np.array_split(rows, 2):
-                if len(part):
-                    n += 1
-                    heapq.heappush(todo, (-len(part) * share, n, part))
-        self.centres = np.stack([c / max(1e-9, np.linalg.norm(c)) for c in (sample[r].mean(axis=0) for r in leaves)]) if leaves else np.zeros((1, sample.shape[1]))
-        self.centres = self.centres.astype(np.float32)
+            parts = [p for p in (rows[of == j] for j in range(of.max() + 1)) if len(p)]
+            for part in parts if len(parts) > 1 else np.array_split(rows, 2):
+                n += 1
+                heapq.heappush(todo, (-len(part) * share, n, part, block))
+        self.centres = np.stack([c / max(1e-9, np.linalg.norm(c)) for c in (sample[r].mean(axis=0) for r in leaves)]).astype(np.float32)
+        self.blocks = np.array(self.blocks)  # type: ignore[assignment]
         of = (sample @ self.centres.T).argmax(axis=1)
-        counts = np.bincount(of, minlength=len(self.centres))
+        counts = np.bincount(np.asarray(self.blocks)[of], minlength=blocks)
         #: Blocks that the sample cannot part further are dealt out.
         self.parts = np.maximum(1, np.ceil(counts * share / (3 * BLOCK))).astype(np.int64)
-        self.gap = self._calibrate(sample, of, k, recall)
 
-    def _calibrate(self, sample: np.ndarray, of: np.ndarray, k: int, recall: float) -> float:
-        if len(self.centres) == 1 or len(sample) <= k:
-            return 0.0
-        q = np.random.default_rng(1).choice(len(sample), min(1000, len(sample)), replace=False)
-        sims = sample[q] @ sample.T
-        sims[np.arange(len(q)), q] = -9
-        nearest = np.argpartition(-sims, k, axis=1)[:, :k]
-        to = sample[q] @ self.centres.T
-        needed = np.sort((to.max(axis=1)[:, None] - np.take_along_axis(to, of[nearest], 1)).ravel())
-        return float(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1e-6
+    def reach(self, q: np.ndarray) -> np.ndarray:
+        """How far below its best leaf each query must go for a leaf of each block."""
+        to = q @ self.centres.T
+        best = np.full((len(q), len(self.parts)), -9, np.float32)
+        for leaf, block in enumerate(self.blocks):
+            np.maximum(best[:, block], to[:, leaf], out=best[:, block])
+        return to.max(axis=1, keepdims=True) - best
+
+
+def calibrate(vectors: DataFrame, tree: UpperTree, q: np.ndarray, k: int, recall: float) -> float:
+    """The gap within which the wanted share of the true neighbours of some queries lies, found by brute force over all vectors."""
+    if len(tree.parts) == 1:
+        return 0.0
+    shared = vectors.sparkSession.sparkContext.broadcast((q, tree.reach(q), tree.centres, tree.blocks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, reach, centres, blocks = shared.value
+        best = np.full((len(q), k + 1), -9, np.float32)
+        need = np.zeros((len(q), k + 1), np.float32)
+        for b in batches:
+            x = unit(np.asarray(b.column(0).flatten(), np.float32).reshape(-1, q.shape[1]))
+            home = blocks[(x @ centres.T).argmax(axis=1)]
+            sims, at = top(q @ x.T, np.broadcast_to(np.arange(len(x)), (len(q), len(x))), k + 1)
+            far = np.take_along_axis(reach, home[at], 1)
+            best, need = top(np.concatenate([best, sims], axis=1), np.concatenate([need, far], axis=1), k + 1)
+        n = np.repeat(np.arange(len(q)), best.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(best.ravel(), pa.float32()), pa.array(need.ravel(), pa.float32())], ["q", "sim", "need"])
+
+    found = vectors.select("embedding").mapInArrow(run, "q int, sim float, need float")
+    order = Window.partitionBy("q").orderBy(F.desc("sim"))
+    nearest = found.withColumn("n", F.row_number().over(order)).where((F.col("n") > 1) & (F.col("n") <= k + 1) & (F.col("sim") > -2)).select("need").toArrow()  # the first is the query
+    needed = np.sort(np.asarray(nearest.column(0)))
+    return float(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1e-6 if len(needed) else 0.0
 
 
 def search_block(x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +172,7 @@ def search_block(x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, recall:
 NEIGHBOURS = "id string, alone boolean, multi boolean, near array<struct<sim: float, id: string, multi: boolean>>"
 
 
-def nearest(df: DataFrame, k: int = 5, width: int = 64, recall: float = 0.98) -> DataFrame:
+def nearest(df: DataFrame, k: int = 5, width: int = 64, recall: float = 0.985) -> DataFrame:
     """chunk_id and near, an array of the k other chunk_ids most similar to it with sim, the cosine, in falling order.
 
     df has chunk_id and embedding, all copies of a chunk_id the same embedding; others are not read.
@@ -158,18 +190,20 @@ def nearest(df: DataFrame, k: int = 5, width: int = 64, recall: float = 0.98) ->
     flat = sampled.column(0).combine_chunks()
     flat = flat.flatten() if len(flat) else flat
     sample = unit(np.asarray(flat, np.float32).reshape(-1, width)) if len(sampled) else np.zeros((0, width), np.float32)
-    tree = UpperTree(sample, total, k, recall) if total else None
+    tree = UpperTree(sample, total) if total else None
+    gap = calibrate(vectors, tree, sample[:QUERIES], k, recall) if tree else 0.0
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((tree.centres, tree.parts, tree.gap) if tree else None)
+    shared = spark.sparkContext.broadcast((tree.centres, tree.blocks, tree.parts, gap) if tree else None)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, parts, gap = shared.value
+        centres, blocks, parts, gap = shared.value
         first = np.concatenate([[0], np.cumsum(parts)])
         for b in batches:
             x = unit(np.asarray(b.column(2).flatten(), np.float32).reshape(-1, width))
             sims = x @ centres.T
-            home = sims.argmax(axis=1)
+            home = blocks[sims.argmax(axis=1)]
             at, to = np.nonzero(sims >= sims.max(axis=1, keepdims=True) - gap)
+            at, to = np.divmod(np.unique(at * len(parts) + blocks[to]), len(parts))
             spread = np.repeat(np.arange(len(at)), parts[to])  # every part of a block is visited
             nth = np.arange(len(spread)) - np.repeat(np.cumsum(parts[to]) - parts[to], parts[to])
             at, to = at[spread], to[spread]
