@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import docpairs, neardup, neighbours, packing, parsing, provenance, secrets, splitting, tokens
+from codeloom.llm import docpairs, neardup, neighbours, packing, parsing, provenance, secrets, splitting, tokens, truncation
 from codeloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,7 +78,15 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), F.col("doc_id"), F.col("text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_redacted, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p6_found, p6_kept, p7_found, p7_rates, p8_ids, p9_containers)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.scored(table(spark, d, "documents")).where("score >= 0.5").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(truncation.scored(table(spark, d, "documents")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_redacted, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p6_found, p6_kept, p7_found, p7_rates, p8_ids, p9_containers, p10_found, p10_rates)}
 
 ORACLE: dict[str, str] = {
     "p3_found": r"""
