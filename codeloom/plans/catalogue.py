@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from codeloom.plans import relational, vector
+
+_PARTS = (vector, relational)
+QUERIES = {k: q for p in _PARTS for k, q in p.QUERIES.items()}
+ORACLE = {k: s for p in _PARTS for k, s in p.ORACLE.items()}
