@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from codeloom.plans import relational, vector
+from codeloom.plans import graph, relational, text, vector
 
-_PARTS = (vector, relational)
+_PARTS = (vector, relational, text, graph)
 QUERIES = {k: q for p in _PARTS for k, q in p.QUERIES.items()}
 ORACLE = {k: s for p in _PARTS for k, s in p.ORACLE.items()}
