@@ -1,40 +1,10 @@
-"""Reading tables, and tables written between the stages of an operator."""
+"""What the operators of this package share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from codeloom.storage import table, written
 
 #: Where the public tokenizers lie; every function that needs one takes the path as a parameter.
 TOKENIZERS = "/opt/tokenizers"
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the session names none, as in tests."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named is None:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(named)
-    return named
-
-
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
-    """df, written to the shared folder and read again: this cuts the lineage, and survives the loss of executors.
-
-    The folder is removed when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/codeloom-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["TOKENIZERS", "table", "written"]
