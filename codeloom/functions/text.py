@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -179,17 +181,46 @@ BEARER = r"(?i)(Authorization\s*[:=]\s*Bearer\s+)([a-zA-Z0-9_\-\.]+)"
 BASIC = r"(?i)(Authorization\s*[:=]\s*Basic\s+)([A-Za-z0-9+/]{16,}={0,2})"
 
 
+# What a text, or its lower case, must hold for a pattern to be tried: any of some literals, or a simpler pattern. Tags hold
+# none of them in a way that a later pattern could match, so that the text as it was first is asked.
+HINTS = {
+    "PHONE_INTL": ["+"], "IP_ADDRESS": r"\d\.\d{1,3}\.\d", "MAC_ADDRESS": r"[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]", "EMAIL_ADDRESS": ["@"], "PHONE_NUMBER": r"\d{3}[-.\s]?\d{4}", "SSN": r"\d-\d\d-\d", "CREDIT_CARD": r"\d{4}[ -]?\d{4}",
+    "DATE_OF_BIRTH": r"\d[/-]\d\d[/-]\d", "IBAN": r"[A-Z]{2}\d{2}[A-Z0-9]{4}\d", "AWS_ACCESS_KEY": ["akia"], "AWS_SECRET_KEY": ["aws_secret"], "AWS_KEY_CONFIG": ["aws_access"], "AZURE_STORAGE_KEY": ["accountkey", "storage"],
+    "AZURE_CONN_STR": ["defaultendpoints"], "GCP_KEY": ["private_key_id", "client_id"], "JWT_TOKEN": ["eyj"], "GITHUB_TOKEN": ["ghp_", "github_pat_"], "GITLAB_TOKEN": ["glpat-"], "SLACK_TOKEN": ["xox"], "SLACK_WEBHOOK": ["hooks.slack"],
+    "STRIPE_KEY": ["k_live_", "k_test_"], "TWILIO_KEY": r"SK[a-f0-9]{8}", "SENDGRID_KEY": ["sg."], "NPM_TOKEN": ["npm_"], "PYPI_TOKEN": ["pypi-"], "HEROKU_KEY": ["heroku"], "MAILCHIMP_KEY": ["-us"], "SQUARE_TOKEN": ["sq0"],
+    "PRIVATE_KEY": ["-----begin"], "CERTIFICATE": ["-----begin"], "HEX_SECRET": r"(?i)(?:secret|password|token|key|credential|auth)[\s_]*[=:]", "PASSWORD_FIELD": ["password", "passwd", "pwd", "pass"], "DOCKER_AUTH": r"(?i)auth\s*[=:]",
+    "K8S_SECRET": ["data:"], "TERRAFORM_SECRET": ["variable"],
+}
+
+
+def _tried(hint: str | list[str], pattern: str, tag: str) -> Callable[[Column], Column]:
+    def step(x: Column) -> Column:
+        if isinstance(hint, str):
+            there = x["first"].rlike(hint)
+        else:
+            there = F.contains(x["low"], F.lit(hint[0]))
+            for h in hint[1:]:
+                there = there | F.contains(x["low"], F.lit(h))
+        return F.struct(F.when(there, F.regexp_replace(x["now"], pattern, tag)).otherwise(x["now"]).alias("now"), x["first"].alias("first"), x["low"].alias("low"))
+
+    return step
+
+
 def redact(text: Column, bounded: bool = True) -> Column:
     """Passwords in URLs, then the tagged patterns in their order, then keys by their names, then headers.
 
     bounded: word boundaries take letters of every script into account, as they do by default in
-    the JVM; without it they are those of ASCII text, for comparison with other engines.
+    the JVM; without it they are those of ASCII text, for comparison with other engines. A pattern
+    is tried only on texts that hold its hint.
     """
-    out = F.regexp_replace(text, CONNECTION, "$1<CONNECTION_PASSWORD>$3")
-    for tag, pattern in TAGGED:
-        out = F.regexp_replace(out, pattern if bounded else ascii_bounds(pattern), f"<{tag}>")
-    out = F.regexp_replace(out, API_KEYS, "$1<API_KEY>$4")
-    return F.regexp_replace(F.regexp_replace(out, BEARER, "$1<BEARER_TOKEN>"), BASIC, "$1<BASIC_AUTH>")
+    steps = [(["://"], CONNECTION, "$1<CONNECTION_PASSWORD>$3")]
+    steps += [(HINTS[tag], p if bounded else ascii_bounds(p), f"<{tag}>") for tag, p in TAGGED]
+    steps += [(["key", "token", "secret"], API_KEYS, "$1<API_KEY>$4"), (["authorization"], BEARER, "$1<BEARER_TOKEN>"), (["authorization"], BASIC, "$1<BASIC_AUTH>")]
+    # one array element carries the text, so that each step names it once and plans stay small
+    state = F.array(F.struct(text.alias("now"), text.alias("first"), F.lower(text).alias("low")))
+    for hint, pattern, tag in steps:
+        state = F.transform(state, _tried(hint, pattern, tag))
+    return state[0]["now"]
 
 
 def ascii_bounds(pattern: str) -> str:
