@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _repaired(text: str | None) -> str | None:
@@ -65,7 +66,7 @@ def _repaired(text: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair_json(s: pd.Series) -> pd.Series:
     return s.map(_repaired)
 
@@ -77,7 +78,7 @@ def structured_output(text: Column) -> Column:
     return F.coalesce(valid(fenced), valid(F.trim(text)), repair_json(text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def cut_repetition(s: pd.Series) -> pd.Series:
     """A text whose end repeats a phrase of 15 to 99 characters four times or more, cut after the first."""
 
@@ -97,7 +98,7 @@ def cut_repetition(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("text string, vault map<string,string>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("vault", T.MapType(T.StringType(), T.StringType()))]))
 def anonymise(s: pd.Series) -> pd.DataFrame:
     """E-mail addresses, IP addresses and telephone numbers replaced by numbered names, which the vault maps back."""
     kinds = [("EMAIL", re.compile(r"[\w.+-]+@[\w-]+\.[\w.]*\w")), ("IP", re.compile(r"\b\d{1,3}(?:\.\d{1,3}){3}\b")), ("PHONE", re.compile(r"\+?\d[\d\s().-]{8,}\d"))]

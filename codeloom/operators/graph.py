@@ -67,7 +67,7 @@ def remove_files(nodes: DataFrame, edges: DataFrame, files: DataFrame, path: str
     """The graph without the nodes of some files and the edges at either end of them."""
     left = nodes.join(files.select(path).distinct(), path, "left_anti")
     ids = left.select("id")
-    return left, edges.join(ids.withColumnRenamed("id", "u"), "u", "left_semi").join(ids.withColumnRenamed("id", "v"), "v", "left_semi")
+    return left, edges.join(ids.withColumnRenamed("id", "u"), "u", "left_semi").join(ids.withColumnRenamed("id", "v"), "v", "left_semi").select(*edges.columns)
 
 
 def diff(old: DataFrame, new: DataFrame, directed: bool = True) -> DataFrame:

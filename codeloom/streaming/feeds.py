@@ -18,7 +18,8 @@ def bursts(df: DataFrame, when: str, gap: str, by: Sequence[str] = (), path: str
     """
     rows = df.withWatermark(when, late) if late else df
     aggs = [F.count(F.lit(1)).alias("n")] + ([F.sort_array(F.collect_set(path)).alias("paths")] if path else [])
-    found = rows.groupBy(*by, F.session_window(when, gap).alias("burst")).agg(*aggs)
+    keys = list(by) or [F.xxhash64(when).bitwiseAND(F.lit(0)).alias("all_rows")]  # a stream needs a key beside the window, and a literal is none
+    found = rows.groupBy(*keys, F.session_window(when, gap).alias("burst")).agg(*aggs)
     return found.select(*by, F.col("burst.start").alias("started"), F.col("burst.end").alias("ended"), "n", *(["paths"] if path else []))
 
 
