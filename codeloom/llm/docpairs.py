@@ -128,8 +128,8 @@ _JAVA_METHOD = re.compile(
 )
 _JAVA_WORDS = {"return", "new", "throw", "else", "case", "assert", "yield", "if", "for", "while", "switch", "catch", "try", "do", "synchronized", "this", "super", "package", "import", "instanceof", "class", "record", "enum", "interface"}
 _AFTER_ARROW = re.compile(r"\s*(?::[^={]*(?:\{[^{}]*\}[^={]*)?)?=>")
-_AFTER_METHOD = re.compile(r"\s*(?::[^;{}]*(?:\{[^{}]*\}[^;{}]*)?)?([{;]?)")
-_AFTER_JAVA = re.compile(r"(?:\s*\[\s*\])*\s*(?:throws\s[\w\s.,]*|default\s[^;]*)?([{;]?)")
+_AFTER_METHOD = re.compile(r"\s*(?::[^;{}]*(?:\{[^{}]*\}[^;{}]*)?)?([{;])")
+_AFTER_JAVA = re.compile(r"(?:\s*\[\s*\])*\s*(?:throws\s[\w\s.,]*|default\s[^;]*)?([{;])")
 _TO_BODY = re.compile(r"[^;{}]*")
 
 

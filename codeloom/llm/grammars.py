@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Callable
 
-from codeloom.llm.gll import ERROR, GROUPS, Dialect, Grammar, Kinds
+from codeloom.llm.gll import ERROR, GROUPS, Dialect, Grammar, Kinds, outside_angles
 
 BRACE = f"[{chr(GROUPS['{'])}-{chr(GROUPS['('] - 1)}]"
 PAREN = f"[{chr(GROUPS['('])}-{chr(GROUPS['['] - 1)}]"
@@ -119,8 +119,8 @@ Param = Deco* ParamMod* Binding '?'? Ann ('=' Assign)? | Deco* '...' Binding Ann
 ForHead = (Var | Expr)? ';' Expr? ';' Expr? | (('const' | 'let' | 'var' | 'using') Binding | Lhs) ('of' Assign | 'in' Expr)
 Func = 'async'? 'function' '*'? NAME Gen <Params> Ret Body
 FuncE = 'async'? 'function' '*'? NAME? Gen <Params> Ret <Block>
-ClassD = Deco* ClassMod 'class' NAME Heritage <ClassBody>
-ClassE = ClassMod 'class' NAME? Heritage <ClassBody>
+ClassD = Deco* ClassMod 'class' NAME Gen Heritage <ClassBody>
+ClassE = ClassMod 'class' NAME? Gen Heritage <ClassBody>
 Deco = '@' (NAME ('.' WORD)* <Args>? | <Paren>)
 Members = Member*
 Member = ';' | 'static' <Block> | Deco* MemberMod* ('async' | 'get' | 'set' | 'async'? '*')? MKey Opt Gen <Params> Ret Body | Deco* MemberMod* MKey FieldOpt Ann ('=' Assign)? ';' | MemberMore
@@ -175,7 +175,7 @@ More = 'declare' (Var ';' | Func | ClassD | More | 'global' <Block> | 'module' S
   | 'type' NAME Gen '=' Type ';' | 'const'? 'enum' NAME <EnumBody> | ('namespace' | 'module') NAME ('.' NAME)* <Module>
 ImportMore = 'import' 'type'? NAME '=' ('require' <Args> | NAME ('.' NAME)*) ';'
 ExportMore = 'type' <Specs> ('from' STR)? ';' | '=' Expr ';' | 'import' NAME '=' ('require' <Args> | NAME ('.' NAME)*) ';' | 'as' 'namespace' NAME ';' | 'type' '*' ('as' WORD)? 'from' STR ';'
-DefaultMore = 'interface' NAME Gen ('extends' Ref (',' Ref)*)? <TypeBody> | 'abstract' 'class' NAME? Heritage <ClassBody>
+DefaultMore = 'interface' NAME Gen ('extends' Ref (',' Ref)*)? <TypeBody> | 'abstract' 'class' NAME? Gen Heritage <ClassBody>
 MemberMore = MemberMod* <IndexSig> Ann ';'
 GenericArrow = 'async'? GenP <Params> Ret '=>' (Assign | <Block>)
 DeclAnn = ('!'? ':' Type)?
@@ -251,7 +251,7 @@ def _script(ts: bool) -> tuple[Dialect, Kinds, Callable[[str], str], Callable[[D
         "(": {"Args": ("Arg", ","), "Params": ("Param", ","), "ForHead": (lambda d, s: s.count(",") < 200 and g.accepts("ForHead", s),)},
         "[": {"Array": ("Elem", ","), "ArrPat": ("ArrP", ",")},
     }
-    each = lambda s: all(g.accepts("Assign", p) for p in s.split(","))
+    each = lambda s: all(g.accepts("Assign", p) for p in s.split(",")) or ("<" in s and all(g.accepts("Assign", p) for p in outside_angles(s, ",")))
     roles["("]["Paren"] = (lambda d, s: each(s) or g.accepts("Decl", s),)  # with the name of a catch
     roles["["]["Index"] = (lambda d, s: each(s),)
     if ts:
@@ -442,28 +442,13 @@ def _java() -> tuple[Dialect, Kinds, Callable[[str], str], Callable[[Dialect, st
     roles = {
         "{": {"Block": strict("Stmts"), "ClassBody": strict("Members"), "EnumBody": (enum,), "ArrInit": ("ArrEl", ","), "Cases": strict("Cases"), "ModuleBody": strict("ModuleStmt")},
         "(": {
-            "Paren": ("Expr",), "Cast": ("CastType",), "Args": (lambda d, s: s == "" or all(g.accepts("Expr", p) for p in s.split(",")),), "Params": (lambda d, s: s == "" or all(g.accepts("Param", p) for p in split_params(s)),),
+            "Paren": ("Expr",), "Cast": ("CastType",), "Args": (lambda d, s: s == "" or all(g.accepts("Expr", p) for p in s.split(",")) or all(g.accepts("Expr", p) for p in outside_angles(s, ",")),), "Params": (lambda d, s: s == "" or all(g.accepts("Param", p) for p in outside_angles(s, ",")),),
             "Names": (lambda d, s: s == "" or all(p == "n" for p in s.split(",")),), "AnnoArgs": (lambda d, s: s == "" or all(g.accepts("AnnoArg", p) for p in s.split(",")),), "ForHead": ("ForHead",), "CatchParam": ("CatchParam",),
             "Resources": (lambda d, s: all(g.accepts("Resource", p) for p in s.removesuffix(";").split(";")),), "Patterns": ("PatternOne", ","),
         },
         "[": {"Index": ("Expr",), "Empty": (lambda d, s: s == "",)},
     }
 
-    def split_params(s: str) -> list[str]:
-        """Commas inside type arguments don't part parameters."""
-        if "<" not in s:
-            return s.split(",")
-        out, depth, start = [], 0, 0
-        for i, c in enumerate(s):
-            if c == "<":
-                depth += 1
-            elif c == ">":
-                depth -= 1
-            elif c == "," and depth == 0:
-                out.append(s[start:i])
-                start = i + 1
-        return [*out, s[start:]]
-
     return Dialect("java", g, roles), kinds, lambda s: s, lambda d, s: strict("Items")[0](d, s)
 
 

@@ -185,15 +185,15 @@ def nearest(df: DataFrame, k: int = 5, width: int = 64, recall: float = 0.985) -
         rows.groupBy("h", "g").agg(F.min("chunk_id").alias("id"), F.max("chunk_id").alias("last"), F.first("embedding").alias("embedding")).select("h", "g", "id", (F.col("id") != F.col("last")).alias("multi"), "embedding")
     )
     total = vectors.count()
+    if not total:
+        return df.sparkSession.createDataFrame([], "chunk_id string, near array<struct<sim: float, id: string>>")
     part = min(1_000_000, int(1_000_000 * SAMPLE / max(1, total)) + 1)
     sampled = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < part).select("embedding").limit(SAMPLE).toArrow()
-    flat = sampled.column(0).combine_chunks()
-    flat = flat.flatten() if len(flat) else flat
-    sample = unit(np.asarray(flat, np.float32).reshape(-1, width)) if len(sampled) else np.zeros((0, width), np.float32)
-    tree = UpperTree(sample, total) if total else None
-    gap = calibrate(vectors, tree, sample[:QUERIES], k, recall) if tree else 0.0
+    sample = unit(np.asarray(sampled.column(0).combine_chunks().flatten(), np.float32).reshape(-1, width))
+    tree = UpperTree(sample, total)
+    gap = calibrate(vectors, tree, sample[:QUERIES], k, recall)
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((tree.centres, tree.blocks, tree.parts, gap) if tree else None)
+    shared = spark.sparkContext.broadcast((tree.centres, tree.blocks, tree.parts, gap))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, blocks, parts, gap = shared.value

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codeloom.llm.base import written
 
@@ -138,16 +139,18 @@ def _word_features(n: int | None, ends: int | None, whole: bool) -> list[str]:
 def limits(docs: DataFrame, least: int = 3) -> DataFrame:
     """source, chars and octets: the lengths at which the texts of a source pile up, in characters and in bytes.
 
-    Different texts are counted: at least so many must have a length, and six times as many as its neighbourhood would have it.
+    Different texts are counted: at least so many must have a length, more than the six lengths on
+    either side have together, and six times as many as its wider neighbourhood would have it.
     """
     texts = docs.select("source", F.length("text").alias("n"), F.octet_length("text").alias("b"), F.xxhash64("text").alias("h"))
     both = texts.select("source", "h", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n").alias("length")), F.struct(F.lit("octets").alias("unit"), F.col("b").alias("length")))).alias("x"))
     counts = both.select("source", "x.unit", "x.length", "h").distinct().groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("m"))
+    counts = counts.withColumn("beside", F.sum("m").over(Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-6, 6)) - F.col("m"))
     # lengths within a tenth of one another, by cells of a logarithmic scale and the ones beside them
     cell = F.floor(F.log(F.col("length") + 1) * 10)
     near = counts.select("source", "unit", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"), "m").groupBy("source", "unit", "cell").agg(F.sum("m").alias("around"))
     width = (F.exp(F.col("cell") / 10) * 0.35)
-    high = counts.withColumn("cell", cell).join(near, ["source", "unit", "cell"]).where((F.col("length") >= 60) & (F.col("m") >= least) & (F.col("m") > 6 * (F.col("around") - F.col("m")) / width + 2))
+    high = counts.withColumn("cell", cell).join(near, ["source", "unit", "cell"]).where((F.col("length") >= 60) & (F.col("m") >= least) & (F.col("m") > F.col("beside")) & (F.col("m") > 6 * (F.col("around") - F.col("m")) / width + 2))
     return high.groupBy("source").agg(F.sort_array(F.collect_list(F.when(F.col("unit") == "chars", F.col("length")))).alias("chars"), F.sort_array(F.collect_list(F.when(F.col("unit") == "octets", F.col("length")))).alias("octets"))
 
 
