@@ -174,14 +174,16 @@ def classify(chunks: DataFrame, upstream: DataFrame, sure: float = 0.5) -> DataF
     A null in repo_id or file_path is no file; a file all of whose texts are null has no evidence and
     is judged by its path; empty texts are no evidence; repeated chunks count once more each, alike for
     every share. Without upstream, attribute files or any file the results are what the rest gives.
-    sure: a pattern counts if the lower bound (95 %, one-sided) of the share of its files that are
+    sure: a pattern counts if the lower bound (95 %, one-sided) of the share of its file names that are
     known not to be written by hand is above this.
     """
     files = chunks.where("repo_id is not null and file_path is not null").select("repo_id", "file_path").distinct()
     of = files.join(evidence(chunks, upstream), ["repo_id", "file_path"], "left").join(declared(chunks, files), ["repo_id", "file_path"], "left")
     known = written(of.select("repo_id", "file_path", F.coalesce("declared", "evidence", F.lit(False)).alias("known"), "declared"))
     marks = known.select("repo_id", "file_path", "known", F.explode(patterns(F.col("file_path"))).alias("pattern"))
-    counts = marks.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_if("known").alias("k"))
+    # files of one name count as one: copies of a library's file make no pattern of its name
+    names = marks.groupBy("pattern", F.element_at(F.split("file_path", "/"), -1).alias("name")).agg(F.avg(F.col("known").cast("int")).alias("k"))
+    counts = names.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
     z = 1.645
     p = F.col("k") / F.col("n")
     bound = (p + z * z / (2 * F.col("n")) - z * F.sqrt(p * (1 - p) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (1 + z * z / F.col("n"))
