@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.operators import communities, graph, traversal
+from codeloom.operators import communities, graph, reports, traversal
 from codeloom.storage import table, written
 
 _ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
@@ -135,11 +135,28 @@ def q_label_propagation(spark: SparkSession, d: str) -> DataFrame:
     return communities.label_propagation(_edges(spark, d), 4)
 
 
+def q_representatives(spark: SparkSession, d: str) -> DataFrame:
+    return reports.representatives(_attributed(spark, d), _brands(spark, d))
+
+
+def q_unique_names(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    return reports.distinct_names(p, "p_name", ["p_partkey"]).select("p_partkey", "unique_name")
+
+
+def q_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols as nodes and parents as edges: what is missing, given twice or leads nowhere."""
+    s = table(spark, d, "symbols")
+    nodes = s.select(F.col("symbol_id").alias("id"), F.col("signature").alias("label"), F.col("symbol_type").alias("kind"))
+    edges = s.where("parent_symbol_id is not null").select(F.col("parent_symbol_id").alias("u"), F.col("symbol_id").alias("v"))
+    return reports.violations(nodes, edges, ["function", "class"]).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         q_callers, q_degrees, q_god_nodes, q_node_score, q_bfs, q_impact, q_shortest_path, q_graph_stats, q_graph_diff, q_cohesion, q_inter_community, q_community_reach, q_surprise, q_calls, q_containment,
-        q_file_context, q_components, q_label_propagation,
+        q_file_context, q_components, q_label_propagation, q_representatives, q_unique_names, q_violations,
     )
 }
 
@@ -193,6 +210,15 @@ ORACLE = {
         with t as (select distinct repo_id, file_path, symbol_id, symbol_type, symbol_name, parent_symbol_id from symbols where symbol_name is not null)
         select repo_id, file_path, coalesce(string_agg(distinct symbol_name, ',' order by symbol_name) filter (symbol_type = 'class'), '') as classes, count(*) filter (parent_symbol_id is not null) as n_methods,
             coalesce(string_agg(distinct symbol_name, ',' order by symbol_name) filter (symbol_type = 'function'), '') as functions from t group by 1, 2""",
+    "q_representatives": f"""
+        with {_A}, m as (select least(x.p_brand, y.p_brand) as a, greatest(x.p_brand, y.p_brand) as b, u, v, confidence, case confidence when 'AMBIGUOUS' then 0 when 'INFERRED' then 1 else 2 end as r from a join part x on x.p_partkey = u join part y on y.p_partkey = v where x.p_brand <> y.p_brand)
+        select a, b, u, v, confidence from (select *, row_number() over (partition by a, b order by r, u, v) as n from m) where n = 1""",
+    "q_unique_names": "select p_partkey, case when n = 0 then p_name else p_name || '_' || n end as unique_name from (select *, row_number() over (partition by p_name order by p_partkey) - 1 as n from part)",
+    "q_violations": """
+        with p as (select 'incomplete node' as problem, symbol_id as id from symbols where symbol_id is null or signature is null union all select 'unknown kind', symbol_id from symbols where symbol_type not in ('function', 'class')
+            union all select 'repeated id', symbol_id from symbols group by symbol_id having count(*) > 1
+            union all select 'dangling end', id from (select distinct parent_symbol_id as id from symbols where parent_symbol_id is not null union select symbol_id from symbols where parent_symbol_id is not null) where id not in (select symbol_id from symbols where symbol_id is not null))
+        select problem, count(*) as n from p group by 1""",
     "q_components": f"""
         with recursive {_CALLS}, e as (select distinct mk.repo_id || ':' || caller_path as u, mk.repo_id || ':' || callee_path as v from mk join kn using (repo_id, callee) where caller_path <> callee_path),
         b as (select u, v from e union select v, u from e), w as (select u as node, u as r from b union select b.v, w.r from w join b on b.u = w.node)
