@@ -124,3 +124,30 @@ def anonymise(s: pd.Series) -> pd.DataFrame:
 
 def restore(text: Column, vault: Column) -> Column:
     return F.aggregate(F.map_entries(vault), text, lambda t, e: F.replace(t, e.key, e.value))
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("arguments", T.StringType())])))
+def tool_calls(s: pd.Series) -> pd.Series:
+    """The calls in a model's answer: objects with a name (or tool, or function) and arguments (or parameters, or input), one or in a list."""
+
+    def one(text: str | None) -> list[dict[str, str]]:
+        out: list[dict[str, str]] = []
+        decoder = json.JSONDecoder()
+        at = 0
+        while text and (at := min((i for i in (text.find("{", at), text.find("[", at)) if i >= 0), default=-1)) >= 0:
+            try:
+                value, end = decoder.raw_decode(text, at)
+            except ValueError:
+                at += 1
+                continue
+            for x in value if isinstance(value, list) else [value]:
+                inner = x.get("function") if isinstance(x, dict) and isinstance(x.get("function"), dict) else x
+                if isinstance(inner, dict):
+                    name = next((inner[k] for k in ("name", "tool", "function") if isinstance(inner.get(k), str)), None)
+                    given = next((inner[k] for k in ("arguments", "parameters", "input") if k in inner), None)
+                    if name and given is not None:
+                        out.append({"name": name, "arguments": given if isinstance(given, str) else json.dumps(given, ensure_ascii=False)})
+            at = end
+        return out
+
+    return s.map(one)

@@ -230,3 +230,8 @@ def ascii_bounds(pattern: str) -> str:
 def context(text: Column, pattern: str, around: int = 15) -> Column:
     """The first match with what stands up to so many characters around it, line ends made spaces."""
     return F.regexp_replace(F.regexp_extract(text, rf"(?s)(.{{0,{around}}}(?:{pattern}).{{0,{around}}})", 1), r"\r?\n", " ")
+
+
+def companion_url(url: Column, mark: str = "-CD") -> Column:
+    """The address of the repository beside one, mark put behind its name."""
+    return F.when(url.endswith(".git"), F.concat(F.regexp_replace(url, r"\.git$", ""), F.lit(mark + ".git"))).otherwise(F.concat(F.regexp_replace(url, "/+$", ""), F.lit(mark)))

@@ -176,3 +176,10 @@ def outline(symbols: DataFrame) -> DataFrame:
     line = F.concat(F.lit("L"), F.col("start_line").cast("string"), F.lit(" "), F.coalesce("symbol_type", F.lit("symbol")), F.lit(" "), "symbol_name")
     one = symbols.where("symbol_name is not null").groupBy("repo_id", "file_path", "start_line", "symbol_type", "symbol_name").agg(F.lit(1).alias("one"))
     return one.groupBy("repo_id", "file_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "symbol_name", line.alias("line")))), lambda x: x.line), "\n").alias("outline"))
+
+
+def joined(chunks: DataFrame, by: Sequence[str] = ("repo_id", "file_path")) -> DataFrame:
+    """by and text: the different chunks of each file in the order of their lines, joined by line ends; null texts are left out."""
+    one = chunks.where("chunk_text is not null").groupBy(*by, "start_line", "end_line", "chunk_text").agg(F.lit(1).alias("one"))
+    parts = F.array_sort(F.collect_list(F.struct("start_line", "end_line", "chunk_text")))
+    return one.groupBy(*by).agg(F.array_join(F.transform(parts, lambda x: x.chunk_text), "\n").alias("text"))

@@ -92,3 +92,21 @@ def attach(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """old with the rows of new whose key it lacks; of equal keys in new the first in order of all columns."""
     w = Window.partitionBy(key).orderBy(*[c for c in new.columns if c != key])
     return old.unionByName(new.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth").join(old.select(key), key, "left_anti"))
+
+
+def graphml(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
+    """line: the elements of a GraphML document, for a writer to put between its head and foot; nodes without a community have -1."""
+    escaped = lambda c: F.replace(F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    community = F.coalesce(F.col("community"), F.lit(-1)).cast("string") if "community" in nodes.columns else F.lit("-1")
+    out = nodes.select(F.concat(F.lit('<node id="'), escaped(key), F.lit('"><data key="community">'), community, F.lit("</data></node>")).alias("line"))
+    return out.unionByName(edges.select(F.concat(F.lit('<edge source="'), escaped("u"), F.lit('" target="'), escaped("v"), F.lit('"/>')).alias("line")))
+
+
+def lookup(symbols: DataFrame, kind: str, pattern: str = "") -> DataFrame:
+    """The graph's standing questions: files, classes, functions or symbol, whose path or name holds a text in any case; no rows for another kind."""
+    holds = lambda c: F.contains(F.lower(c), F.lit(pattern.lower()))
+    types = F.lower("symbol_type")
+    if kind == "files":
+        return symbols.where(F.contains("file_path", F.lit(pattern))).select("repo_id", "file_path", F.lit(None).cast("string").alias("symbol_name")).distinct()
+    wanted = {"classes": types.isin("class", "interface", "struct"), "functions": types.isin("function", "method"), "symbol": F.lit(True)}.get(kind, F.lit(False))
+    return symbols.where(wanted & holds("symbol_name")).select("repo_id", "file_path", "symbol_name").distinct()

@@ -97,3 +97,20 @@ def null_audit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column_name, n_null and n_empty of each column."""
     one = df.agg(F.count(F.lit(1)).alias("n"), *[F.struct(F.count_if(F.col(c).isNull()).alias("n_null"), F.count_if(F.col(c).cast("string") == "").alias("n_empty")).alias(c) for c in columns])
     return one.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("x")) for c in columns])).alias("y")).select("y.column_name", F.col("n").alias("n_rows"), "y.x.n_null", "y.x.n_empty")
+
+
+def first_source(frames: Sequence[DataFrame], key: str, limit: int | None = None) -> DataFrame:
+    """The union of frames of one schema, of each key the row of the first frame that has it, ties by all columns; limit keeps the first keys by frame and key."""
+    rows = None
+    for i, f in enumerate(frames):
+        one = f.withColumn("source_no", F.lit(i))
+        rows = one if rows is None else rows.unionByName(one)
+    out = latest(rows, [key], [F.asc("source_no"), *[F.asc(c) for c in frames[0].columns if c != key]])
+    return (out if limit is None else out.orderBy("source_no", key).limit(limit)).drop("source_no")
+
+
+def json_names(text: Column) -> Column:
+    """The names in a JSON list of texts or of objects with a name; empty for null and for what is no such list."""
+    texts = F.from_json(text, "array<string>")
+    named = F.transform(texts, lambda x: F.coalesce(F.get_json_object(x, "$.name"), x))
+    return F.coalesce(F.filter(named, lambda x: x.isNotNull()), F.array().cast("array<string>"))

@@ -141,10 +141,15 @@ def q_touched(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.touched(old, new, "repo_id", "at")
 
 
+def q_manifest_authors(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "repository_manifests")
+    return m.select("repo_id", F.explode(metadata.json_names(F.col("last_authors"))).alias("author")).groupBy("author").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        q_job_stats, q_job_latest, q_job_claim_fifo, q_visibility, q_manifest_newest, q_manifest_totals, q_repo_overview, q_contributors, q_leaderboard, q_interactions, q_sessions_recent, q_session_history,
+        q_manifest_authors, q_job_stats, q_job_latest, q_job_claim_fifo, q_visibility, q_manifest_newest, q_manifest_totals, q_repo_overview, q_contributors, q_leaderboard, q_interactions, q_sessions_recent, q_session_history,
         q_running_budget, q_last_status, q_debounce, q_symbol_upsert, q_sparse_update, q_file_purge, q_null_audit, q_vector_widths, q_snapshot_diff, q_hash_antijoin, q_touched,
     )
 }
@@ -153,6 +158,7 @@ _JOBS = "jl as (select * exclude (nth) from (select *, row_number() over (partit
 _LAST_JOB = "lj as (select * exclude (nth) from (select *, row_number() over (partition by repo_id order by updated_at desc nulls last, id desc) as nth from jl where repo_id is not null) where nth = 1)"
 _V = "(select repo_id, file_path, min(chunk_hash) as h from code_chunks where embedding_version = {} group by 1, 2)"
 ORACLE = {
+    "q_manifest_authors": "select author, count(*) as n from (select unnest(from_json(last_authors, '[\"varchar\"]')) as author from repository_manifests where last_authors is not null) group by 1",
     "q_job_stats": f"with {_JOBS} select org, count(*) as total, " + ", ".join(f"count(*) filter (status = '{s}') as {s}" for s in STATUSES) + " from jl group by org",
     "q_job_latest": f"with {_JOBS} select id, status, progress, updated_at from jl",
     "q_job_claim_fifo": f"with {_JOBS} select org, id, created_at from (select *, row_number() over (partition by org order by created_at nulls first, id) as n from jl where status = 'pending') where n = 1",

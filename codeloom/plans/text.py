@@ -143,11 +143,15 @@ def q_symbol_search(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "symbols").where(F.contains(F.lower("symbol_name"), F.lit("token")) & filters.overlaps(1, 100)).select("symbol_id", "file_path", "symbol_name", "start_line").distinct()
 
 
+def q_joined_files(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.joined(table(spark, d, "code_chunks")).select("repo_id", "file_path", F.sha2("text", 256).alias("digest"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         q_char_windows, q_tiny_chunks, q_identities, q_token_estimate, q_lang_counts, q_corpus_verdict, q_budget_pack, q_fixed_batches, q_token_batches, q_line_chunks, q_char_chunks, q_paper_signs, q_redact,
-        q_redact_chunks, q_grep, q_urls, q_exact_copies, q_admission, q_languages, q_structure, q_structure_union, q_outline, q_uncovered, q_keyword_score, q_symbol_search,
+        q_redact_chunks, q_grep, q_urls, q_exact_copies, q_admission, q_languages, q_structure, q_structure_union, q_outline, q_uncovered, q_keyword_score, q_symbol_search, q_joined_files,
     )
 }
 
@@ -224,6 +228,7 @@ ORACLE = {
         c as (select distinct l.repo_id, l.file_path, l.line_no from l join s on l.repo_id = s.repo_id and l.file_path = s.file_path and l.line_no between s.start_line and s.end_line),
         u as (select *, line_no - row_number() over (partition by repo_id, file_path order by line_no) as g from (select * from l except select * from c))
         select repo_id, file_path, min(line_no)::integer as start_line, max(line_no)::integer as end_line from u group by repo_id, file_path, g""",
+    "q_joined_files": "with c as (select distinct repo_id, file_path, start_line, end_line, chunk_text from code_chunks where chunk_text is not null) select repo_id, file_path, sha256(string_agg(chunk_text, chr(10) order by start_line, end_line, chunk_text)) as digest from c group by 1, 2",
     "q_keyword_score": f"select doc_id, round(0.5 * {_SHARES}, 6) as score from documents where text is not null and 0.5 * {_SHARES} >= 0.1",
     "q_symbol_search": "select distinct symbol_id, file_path, symbol_name, start_line from symbols where contains(lower(symbol_name), 'token') and start_line <= 100 and end_line >= 1",
 }
