@@ -74,14 +74,20 @@ def name_words(text: Column) -> Column:
 
 
 def overlap_matches(left: DataFrame, right: DataFrame, left_key: str, left_text: str, right_key: str, right_text: str, least: float) -> DataFrame:
-    """The best match of each left name among the right ones by the share of its words found, at least least.
+    """The best match of each left name among the right ones by the share of its words found, at least least; ties by right_key.
 
-    Names meet over the words they share (an inverted index), never each with every other.
+    Names meet over shared words (an inverted index), never each with every other. A match shares at
+    least the rounded-up part least of a name's n words, hence one of its n - that + 1 rarest, and only
+    these are looked up.
     """
     l = left.select(F.col(left_key).alias("l"), name_words(F.col(left_text)).alias("lw")).where(F.size("lw") > 0)  # noqa: E741
     r = right.select(F.col(right_key).alias("r"), name_words(F.col(right_text)).alias("rw")).where(F.size("rw") > 0)
-    met = l.select("l", F.size("lw").alias("n"), F.explode("lw").alias("w")).join(r.select("r", F.explode("rw").alias("w")), "w").groupBy("l", "r").agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n"))
-    scored = met.withColumn("score", F.col("common") / F.col("n")).where(F.col("score") >= least)
+    index = r.select("r", F.explode("rw").alias("w"))
+    rare = l.select("l", F.size("lw").alias("n"), F.explode("lw").alias("w")).join(index.groupBy("w").agg(F.count(F.lit(1)).alias("f")), "w", "left").fillna(0, ["f"])
+    nth = F.row_number().over(Window.partitionBy("l").orderBy("f", "w"))
+    looked = rare.withColumn("nth", nth).where((F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1) & (F.col("f") > 0)).select("l", "w")
+    met = looked.join(index, "w").select("l", "r").distinct().join(l, "l").join(r, "r")
+    scored = met.select("l", "r", (F.size(F.array_intersect("lw", "rw")) / F.size("lw")).alias("score")).where(F.col("score") >= least)
     return latest(scored, ["l"], [F.desc("score"), F.asc("r")]).select(F.col("l").alias(left_key), F.col("r").alias("matched"), "score")
 
 

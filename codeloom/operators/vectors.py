@@ -64,9 +64,8 @@ def in_files(hits: DataFrame, candidates: DataFrame, path: str = "file_path") ->
     parts = F.split(path, "/")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
     wanted = candidates.select(F.col(path).alias("tail")).distinct()
-    keyed = hits.withColumn("hit_no", F.monotonically_increasing_id())
-    found = keyed.select("hit_no", F.explode(tails).alias("tail")).join(wanted, "tail", "left_semi").select("hit_no").distinct()
-    return keyed.join(found, "hit_no", "left_semi").drop("hit_no")
+    paths = hits.select(path).where(F.col(path).isNotNull()).distinct().select(path, F.explode(tails).alias("tail"))
+    return hits.join(paths.join(wanted, "tail", "left_semi").select(path).distinct(), path, "left_semi").select(*hits.columns)
 
 
 def embed(texts: Column, width: int = 64) -> Column:

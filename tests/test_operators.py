@@ -290,6 +290,23 @@ def test_overlap_matches(spark):
     assert got(out) == [(1, 10, 1.0)]
 
 
+def test_overlap_against_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(12)] + ["hot"] * 12
+    a = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 6)))) for i in range(40)]
+    b = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 6)))) for i in range(40)]
+    out = metadata.overlap_matches(spark.createDataFrame(a, "i int, t string"), spark.createDataFrame(b, "j int, u string"), "i", "t", "j", "u", 0.5)
+    expected = []
+    for i, t in a:
+        w = set(t.split())
+        best = min(((-len(w & set(u.split())) / len(w), j) for j, u in b), default=None)
+        if -best[0] >= 0.5:
+            expected.append((i, best[1], -best[0]))
+    assert got(out) == expected
+
+
 def test_leaderboard(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), (None,)], "who string")
     assert got(metadata.leaderboard(df, "who")) == [("a", 2, 1), ("b", 1, 2), ("c", 1, 2)]
