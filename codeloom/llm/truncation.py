@@ -277,9 +277,9 @@ def scored(df: DataFrame, sample: int = SAMPLE) -> DataFrame:
     total = full.count()
     share = min(1_000_000, int(1_500_000 * sample / max(1, total)) + 1)
     some = whole.where(F.pmod(F.xxhash64("h", F.lit(7)), F.lit(1_000_000)) < share).dropDuplicates(["h"]).limit(sample)
-    described = _describe(whole, False)
-    words = written(words.join(described.select(F.rtrim("word").alias("word")).union(_describe(some, True).select(F.rtrim("word").alias("word"))).distinct(), "word", "left_semi"))
-    taught = _with_words(_describe(some, True), words).orderBy("h", "doc_id", "label").toArrow()
+    described, lessons = written(_describe(whole, False)), written(_describe(some, True))
+    words = written(words.join(described.select(F.rtrim("word").alias("word")).union(lessons.select(F.rtrim("word").alias("word"))).distinct(), "word", "left_semi"))
+    taught = _with_words(lessons, words).orderBy("h", "doc_id", "label").toArrow()
     slots, labels, marks = taught.column("slots").to_pylist(), np.asarray(taught.column("label")), np.asarray(taught.column("h"))
     w = np.zeros(SLOTS + 2)
     w[SLOTS] = -30
