@@ -24,6 +24,8 @@ from codeloom.llm.base import written
 OWNERS = 6
 #: Characters of confirmed values in one automaton; more values are searched for in further passes.
 AUTOMATON = 16_000_000
+#: A value of fewer characters is searched for again only if it is telling.
+SHORT = 12
 
 # Words at the end of a name that mean a credential, and those that make "key" mean one.
 _CREDENTIAL = {"password", "passwd", "pwd", "pass", "pw", "passphrase", "passcode", "secret", "secrets", "token", "credential", "credentials", "cred", "creds", "auth", "apikey", "secretkey", "accesskey", "privatekey", "authtoken", "accesstoken", "clientsecret"}
@@ -32,11 +34,14 @@ _PLACEHOLDER = re.compile(
     r"(?i)^(?:|\$.*|<.*>|\{\{.*|%[({].*|@\{.*|#\{.*|__\w+__|\*+|x{4,}.*|\.{3,}|-+|your[-_ ].*|my[-_ ].*|replace[-_ ]?.*|change[-_ ]?(?:me|it).*|.*(?:placeholder|redacted|example|dummy|sample|changeme|to-?do|insert[-_ ]|todo).*"
     r"|null|none|nil|true|false|undefined|test|secret|password|token|vault:.*|ref\+.*|enc\[.*|env[:.(\[].*|os\.(?:environ|getenv).*|process\.env.*|system\.getenv.*|!vault.*|arn:.*|file:.*|/[\w./-]+|\w+\(.*)$"
 )
-#: Shapes that services give their credentials, after whatever character can't be part of one.
-_STRUCTURED = re.compile(
-    r"(?<![A-Za-z0-9_/+-])(?:gh[opsur]_[A-Za-z0-9]{20,}|github_pat_\w{30,}|glpat-[\w-]{16,}|npm_[A-Za-z0-9]{30,}|(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|xox[abprs]-[\w-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"
-    r"|SG\.[\w-]{16,}\.[\w-]{30,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}|pypi-[\w-]{40,}|AIza[\w-]{35}|hf_[A-Za-z0-9]{30,}|sq0[a-z]{3}-[\w-]{22,}|key-[0-9a-f]{32}|[a-z]{3,16}_(?=[A-Za-z]*\d)(?=[a-z0-9]*[A-Z])(?=[A-Z0-9]*[a-z])[A-Za-z0-9]{32}(?![A-Za-z0-9_]))"
-)
+#: Shapes that services give their credentials, by how they begin: what follows that.
+_SHAPES = {
+    "gh[opsur]_": "[A-Za-z0-9]{20,}", "github_pat_": r"\w{30,}", "glpat-": r"[\w-]{16,}", "npm_": "[A-Za-z0-9]{30,}", "(?:AKIA|ASIA)": "[A-Z0-9]{16}(?![A-Za-z0-9])", "xox[abprs]-": r"[\w-]{10,}", "[sr]k_(?:live|test)_": "[A-Za-z0-9]{16,}",
+    r"SG\.": r"[\w-]{16,}\.[\w-]{30,}", "eyJ": r"[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}", "pypi-": r"[\w-]{40,}", "AIza": r"[\w-]{35}", "hf_": "[A-Za-z0-9]{30,}", "sq0": r"[a-z]{3}-[\w-]{22,}", "key-": "[0-9a-f]{32}",
+    "[a-z]{3,16}_": "(?=[A-Za-z]*\\d)(?=[a-z0-9]*[A-Z])(?=[A-Z0-9]*[a-z])[A-Za-z0-9]{32}(?![A-Za-z0-9_])",
+}
+#: The same, after whatever character can't be part of one.
+_STRUCTURED = re.compile(r"(?<![A-Za-z0-9_/+-])(?:" + "|".join(a + b for a, b in _SHAPES.items()) + ")")
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@\"'`<>]{0,80}:([^\s@\"'`]{1,200})@")
 _HEADER = re.compile(r"(?i)\b(?:authorization|proxy-authorization|x-api-key|x-auth-token)[\"']?\s*[:=,]\s*[\"'`]?(?:(?:bearer|basic|token|digest|apikey)\s+)?([^\s\"'`,;]{6,})|\b(?:bearer|basic)\s+([A-Za-z0-9+/=._~-]{16,})")
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?=\s*\Z)|(?:\\n|\\r|[\s\"'+\\#/*>|])*[A-Za-z0-9+/=]{8,}(?:[\s\S]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|(?:\\n|[A-Za-z0-9+/=\s])*))")
@@ -59,7 +64,7 @@ class Hit(NamedTuple):
     start: int
     end: int
     value: str
-    kind: str  # named, shape, url, header, block or data
+    kind: str  # named, shape, url, header, block or data; again if only the value tells
     more: str  # where further pieces of the value stand: "start-end,..."
 
 
@@ -216,7 +221,7 @@ def _data(text: str, low: int, high: int) -> Iterator[tuple[int, int, str]]:
 
 
 #: What a text must hold to have a candidate, for the JVM to tell.
-HINT = r"(?i)passw|pwd|pass|pw|secret|token|key|cred|auth|bearer|basic |://[^\s/]*:[^\s]*@|gh[opsur]_|glpat-|npm_|AKIA|ASIA|xox[abprs]-|k_live_|k_test_|SG\.|eyJ|pypi-|AIza|hf_|sq0|[a-z]{3,16}_[A-Za-z0-9]{32}"
+HINT = r"(?i)passw|pwd|pass|pw|secret|token|key|cred|auth|bearer|basic|://[^\s/]*:[^\s]*@|" + "|".join(a + ("[A-Za-z0-9]{32}" if a == "[a-z]{3,16}_" else "") for a in _SHAPES)
 
 SCHEMA = "row_id bigint, line_no int, start int, end int, value string, kind string, more string"
 
@@ -241,6 +246,49 @@ def index(df: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, SCHEMA)
 
 
+def _key_lines(block: str) -> Iterator[str]:
+    """The lines of a key block's body, and all of them as one."""
+    body = re.sub(r"-----[^-]*-----", "\n", re.sub(r"\\[nr]", "\n", block))
+    lines = [m[1] for x in body.split("\n") if (m := re.fullmatch(r"(?:[\s\"'`+\\#/*>|]*[\s\"'`\\#*>|])?([A-Za-z0-9+/=]+)(?:[\s\"'`\\,;)][\s\"'`+\\,;)]*)?", x))]
+    # what has no end may run on into other text, which is no key
+    least = SHORT if "-----END" in block else 40
+    lines += ["".join(lines)] if len(lines) > 1 and least == SHORT else []
+    yield from (x for x in lines if len(x) >= least and (telling(x) or len(x) > 4000))
+
+
+def searched(value: str, kind: str) -> set[tuple[str, str]]:
+    """What is searched for of a confirmed value, and the kind of what is found so.
+
+    Of a key the lines of its body; of a manifest's value the code and what it stands for. Few
+    characters must look like a credential by themselves, since they may be a word.
+    """
+    if kind == "block":
+        return {(x, "again") for x in _key_lines(value)}
+    out = {(value, "data" if kind == "data" else "again")} if "-----BEGIN" not in value else set()
+    if kind == "data":
+        try:
+            plain = base64.b64decode(value, validate=True).decode().strip()
+        except ValueError:
+            plain = ""
+        inner = hits(plain, ".env")
+        out |= {x for h in inner if h.kind != "data" for x in searched(h.value, h.kind)}
+        # manifests also hold plain words, which stand elsewhere in their own right
+        if "-----BEGIN" not in plain and any(telling(x[:4000]) for x in plain.split()):
+            out.add((plain, "again"))
+    return {(w, k) for w, k in out if len(w) >= SHORT or telling(w)}
+
+
+def _words(confirmed: DataFrame) -> DataFrame:
+    """value and kind of all that is searched for, each value once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = sorted({x for v, k in zip(*[c.to_pylist() for c in b.columns], strict=True) for x in searched(v, k)})
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([k for _, k in out], pa.string())], ["value", "kind"])
+
+    return confirmed.select("value", "kind").distinct().mapInArrow(run, "value string, kind string").groupBy("value").agg(F.min("kind").alias("kind"))
+
+
 def _rescan(df: DataFrame, values: DataFrame) -> DataFrame:
     """Where the values stand in df's texts, whatever stands around them; in passes of bounded automata."""
     spark = df.sparkSession
@@ -250,20 +298,21 @@ def _rescan(df: DataFrame, values: DataFrame) -> DataFrame:
     out = None
     for k in range(passes):
         part = values.where(F.pmod(F.xxhash64("value"), F.lit(passes)) == k) if passes > 1 else values
-        words = spark.sparkContext.broadcast(part.toArrow().column(0).to_pylist())
+        words = spark.sparkContext.broadcast([c.to_pylist() for c in part.select("value", "kind").toArrow().columns])
 
         def run(batches: Iterator[pa.RecordBatch], words=words) -> Iterator[pa.RecordBatch]:  # type: ignore[no-untyped-def]
             automaton = ahocorasick.Automaton()
-            for w in words.value:
-                automaton.add_word(w, w)
-            automaton.make_automaton()
+            for w, kind in zip(*words.value, strict=True):
+                automaton.add_word(w, (w, kind))
+            if len(automaton):
+                automaton.make_automaton()
             for b in batches:
                 found: list[tuple] = []
                 for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    for last, w in automaton.iter(text):
+                    for last, (w, kind) in automaton.iter(text) if len(automaton) else ():
                         start, end = last - len(w) + 1, last + 1
                         if not (text[start - 1 : start].isalnum() and start) and not text[end : end + 1].isalnum():
-                            found.append((row, text.count("\n", 0, start) + 1, start, end, w, "again", ""))
+                            found.append((row, text.count("\n", 0, start) + 1, start, end, w, kind, ""))
                 yield _batch(found)
 
         once = texts.mapInArrow(run, SCHEMA)
@@ -283,10 +332,11 @@ def find(df: DataFrame, owners: int = OWNERS) -> DataFrame:
     owned = indexed.where("kind in ('named', 'shape', 'header')").join(df.select(F.col("row_id").cast("bigint"), F.coalesce("repo_id", F.lit("")).alias("repo_id")), "row_id")
     shared = owned.select("value", "repo_id").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= owners).select("value")
     confirmed = written(indexed.join(shared.withColumn("shared", F.lit(True)), "value", "left").where("shared is null or kind in ('url', 'block', 'data')").select(*indexed.columns))
-    rare = confirmed.where("kind in ('named', 'shape', 'header', 'url') and length(value) between 12 and 400").select("value").distinct()
-    again = _rescan(df, rare)
+    again = _rescan(df, written(_words(confirmed)))
     place = ["row_id", "start"]
-    again = again.join(confirmed.select(*place).distinct(), place, "left_anti").groupBy(*place).agg(*[F.max_by(F.struct("line_no", "end", "value", "kind", "more"), "end").alias("h")]).select("row_id", "h.line_no", "start", "h.end", "h.value", "h.kind", "h.more")
+    # what lies within a confirmed value, such as a line of a key, is that value
+    known = confirmed.select("row_id", F.col("start").alias("from"), F.col("end").alias("to"))
+    again = again.join(known, (again["row_id"] == known["row_id"]) & ((again["start"] == known["from"]) | ((again["start"] >= known["from"]) & (again["end"] <= known["to"]))), "left_anti").groupBy(*place).agg(*[F.max_by(F.struct("line_no", "end", "value", "kind", "more"), "end").alias("h")]).select("row_id", "h.line_no", "start", "h.end", "h.value", "h.kind", "h.more")
     return confirmed.unionByName(again)
 
 
@@ -315,7 +365,7 @@ def redact(df: DataFrame, owners: int = OWNERS) -> DataFrame:
                     end, word = cuts[start]
                     if start >= at:
                         out.append(text[at:start] + word)
-                        at = end
+                    at = max(at, end)
                 texts.append("".join(out) + text[at:])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["row_id", "chunk_text"])
 

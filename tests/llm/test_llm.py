@@ -143,6 +143,23 @@ def test_redaction_keeps_manifests(spark):
     assert base64.b64decode(re.search("'(.*)'", out)[1]) == b"REDACTED" and out.replace("UkVEQUNURUQ=", "c2VjcmV0") == text
 
 
+def test_every_confirmed_value_is_searched_for(spark):
+    long, pat, coded = "Ab1+" * 120, "github_pat_" + "A1" * 11 + "_" + "b2C" * 19 + "dd", base64.b64encode(b"Zotarn-3553x!").decode()
+    rows = [
+        (1, "a.py", 'password = "Hun!22x"'), (2, "b.go", "// it was Hun!22x, not xHun!22x"), (3, "b.go", "// or xHun!22xy"),
+        (4, "a.py", f'secret = "{long}"'), (5, "b.go", f"x(`{long}`)"),
+        (6, "s.yaml", f"kind: Secret\ndata:\n  a: {coded}\n  b: cmlnaHQtY29sdW1u\n"), (7, "b.go", f"// Zotarn-3553x!\nx({coded})\n// right-column"),
+        (8, "a.py", f'k = """{KEY}"""'), (9, "b.go", "\n// MIIEabcdEFGH1234\nx(`MIIEabcdEFGH1234abcd`)"),
+        (10, "b.go", f"f({pat})"), (11, "b.go", "// other texts, RSA and PRIVATE and abcd"),
+    ]
+    df = spark.createDataFrame([(i, f"r{i}", p, t) for i, p, t in rows], "row_id long, repo_id string, file_path string, chunk_text string")
+    found = got(secrets.find(df).select("row_id", "line_no").distinct())
+    assert found == [(1, 1), (2, 1), (4, 1), (5, 1), (6, 3), (6, 4), (7, 1), (7, 2), (8, 1), (9, 2), (9, 3), (10, 1)]
+    out = {r["row_id"]: r["chunk_text"] for r in secrets.redact(df).collect()}
+    assert out[2] == "// it was REDACTED, not xHun!22x" and out[5] == "x(`REDACTED`)" and out[10] == "f(REDACTED)"
+    assert out[7] == "// REDACTED\nx(UkVEQUNURUQ=)\n// right-column" and out[8] == 'k = """REDACTED"""'
+
+
 # ------------------------------------------------------------------ 3 splitting
 
 
