@@ -56,6 +56,10 @@ def pieces(text: str, limit: int = 2048, overlap_lines: int = 2, overlap_chars:
                 at.append(int(starts[i]) + c)
                 strength.append(1 if body[c - 1] in " \t,;" else 0)
                 inside.append(i + 1)
+        elif len(line) > limit:  # only its end doesn't fit: it may be cut before that, which cuts no line
+            at.append(int(starts[i]) + len(body))
+            strength.append(1)
+            inside.append(0)
         after = lines[i + 1] if i + 1 < len(lines) else ""
         at.append(int(ends[i]))
         inside.append(0)

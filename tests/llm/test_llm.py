@@ -182,6 +182,22 @@ def test_pieces(lines, end):
             assert b[0] == 0 or text[b[0] - 1] == "\n" or a[1] - b[0] == 16
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("n", range(2044, 2051))
+@pytest.mark.parametrize("before", ["", "def f():\n", "a\nb\n" * 300])
+def test_lines_about_as_long_as_the_limit(n, end, before):
+    text = before + "x" * n + end + "y = 1\n" * 3 + "x" * n + end
+    out = []
+    for piece in splitting.pieces(text):
+        out.append(piece)
+        assert len(out) < 20
+    assert out[0][0] == 0 and out[-1][1] == len(text) and all(0 < e - s <= 2048 for s, e, *_ in out)
+    assert all(a[0] < b[0] <= a[1] < b[1] for a, b in zip(out, out[1:], strict=False))
+    for s, e, first, last, _ in out:
+        assert first == text.count("\n", 0, s) + 1 and last == text.count("\n", 0, e - 1) + 1
+    assert {x[4] for x in out} - {0} == {i for i, x in enumerate(text.split("\n"), 1) if len(x.removesuffix("\r")) > 2048}
+
+
 def test_range_maximum():
     rng = np.random.default_rng(0)
     for n in (1, 2, 7, 64, 100):
