@@ -1,7 +1,7 @@
 """Problem 2: credentials written out in source code and configuration.
 
 Literals in the place or shape of a credential are indexed over the whole corpus. Those that many
-owners share are placeholders and are suppressed; rare ones are confirmed. An automaton of the
+owners share are placeholders and are suppressed, unless they have a service's shape; rare ones are confirmed. An automaton of the
 confirmed values then reads every text again, so that a secret is also found where nothing beside
 its value gives it away. Redaction replaces the value only, by something of the same form.
 """
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.base import written
 
-#: A value that stands in at least so many repositories is a placeholder.
-OWNERS = 6
+#: A value with at least so many owners, and this share of all repositories, is a placeholder.
+OWNERS, SHARE = 6, 0.03
 #: Characters of confirmed values in one automaton; more values are searched for in further passes.
 AUTOMATON = 16_000_000
 #: A value of fewer characters is searched for again only if it is telling.
@@ -326,11 +326,19 @@ def find(df: DataFrame, owners: int = OWNERS) -> DataFrame:
     df has row_id, repo_id, file_path and chunk_text; others are not read. line_no is counted inside
     the text, start and end are offsets of its characters, more the places of further pieces. Null
     and empty texts have none; rows of one row_id are judged each for itself; null repo_id counts
-    as one owner. An empty table gives no rows.
+    as one owner. An empty table gives no rows. Values with many owners are placeholders (at least
+    owners, and SHARE of all repositories), except in the shapes of services; copies of one text have
+    one owner, but a text that more than half of all repositories hold counts for each.
     """
     indexed = written(index(df))
-    owned = indexed.where("kind in ('named', 'shape', 'header')").join(df.select(F.col("row_id").cast("bigint"), F.coalesce("repo_id", F.lit("")).alias("repo_id")), "row_id")
-    shared = owned.select("value", "repo_id").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= owners).select("value")
+    repos = df.select(F.coalesce("repo_id", F.lit("")).alias("repo_id")).distinct().count()
+    counted = indexed.where("kind in ('named', 'shape', 'header')").where(~F.col("value").rlike(_STRUCTURED.pattern))
+    owned = counted.select("row_id", "value").join(df.select(F.col("row_id").cast("bigint"), F.coalesce("repo_id", F.lit("")).alias("repo_id"), F.sha2("chunk_text", 256).alias("text")), "row_id")
+    # copies of one text have one owner, unless most repositories hold it
+    texts = owned.select("value", "text", "repo_id").distinct().groupBy("value", "text").agg(F.min("repo_id").alias("owner"), F.count(F.lit(1)).alias("holders"))
+    counts = texts.groupBy("value").agg(F.count_distinct("owner").alias("n"), F.max("holders").alias("holders"))
+    most = F.greatest(F.lit(owners), F.ceil(F.lit(SHARE * repos)))
+    shared = counts.where((F.col("n") >= most) | ((F.col("holders") >= owners) & (F.col("holders") * 2 > repos))).select("value")
     confirmed = written(indexed.join(shared.withColumn("shared", F.lit(True)), "value", "left").where("shared is null or kind in ('url', 'block', 'data')").select(*indexed.columns))
     again = _rescan(df, written(_words(confirmed)))
     place = ["row_id", "start"]

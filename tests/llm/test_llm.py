@@ -160,6 +160,18 @@ def test_every_confirmed_value_is_searched_for(spark):
     assert out[7] == "// REDACTED\nx(UkVEQUNURUQ=)\n// right-column" and out[8] == 'k = """REDACTED"""'
 
 
+def test_copies_and_shapes_are_no_placeholders(spark):
+    rows = [(i, f"r{i}", 'db_password = "Rare-value-77x"') for i in range(7)]  # copies of one text
+    rows += [(100 + i, f"r{i}", f'x{i} = "npm_{"aB3" * 12}"\ntoken = "ghp_{"aB3" * 8}"') for i in range(8)]  # shapes
+    rows += [(200 + i, f"r{i}", f'y{i} = 1\ntoken = "Abcdef99"') for i in range(8)]  # a placeholder
+    rows += [(300 + i, f"s{i}", "") for i in range(20)]
+    df = spark.createDataFrame(rows, "row_id long, repo_id string, chunk_text string").withColumn("file_path", F.lit("a.py"))
+    lines = [(i, 1) for i in range(7)] + [(100 + i, k) for i in range(8) for k in (1, 2)]
+    assert got(secrets.find(df).select("row_id", "line_no").distinct()) == lines
+    many = df.unionByName(spark.range(1000, 1300).select(F.col("id").alias("row_id"), F.concat(F.lit("t"), "id").alias("repo_id"), F.lit("").alias("chunk_text"), F.lit("a.py").alias("file_path")))
+    assert got(secrets.find(many).select("row_id", "line_no").distinct()) == lines + [(200 + i, 2) for i in range(8)]
+
+
 # ------------------------------------------------------------------ 3 splitting
 
 
