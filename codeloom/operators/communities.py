@@ -29,16 +29,44 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 
-def label_propagation(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """node and community: each node takes the commonest label around it, the least of equals, all at once, for so many rounds."""
-    both = written(undirected(edges.where("u <> v").select("u", "v")))
+def _propagated(both: DataFrame, rounds: int) -> DataFrame:
+    """node and community over edges in both directions, in rounds until no label changes."""
     labels = both.select(F.col("u").alias("node")).distinct().withColumn("community", F.col("node"))
     for _ in range(rounds):
         votes = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u", "community").agg(F.count(F.lit(1)).alias("n"))
-        labels = written(votes.groupBy(F.col("u").alias("node")).agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("community")))
+        after = written(votes.groupBy(F.col("u").alias("node")).agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("community")))
+        stable = after.join(labels, ["node", "community"], "left_anti").isEmpty()
+        labels = after
+        if stable:
+            break
     return labels
 
 
+def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """node and community: each node takes the commonest label around it, the least of equals, all at once, until nothing changes, for so many rounds at most.
+
+    A community of more than 10 nodes and of more than a quarter of all is split by labels that spread
+    within it alone, once; nodes without an edge inside it then stand alone. Labels that alternate
+    without end are those of the last round.
+    """
+    both = written(undirected(edges.where("u <> v").select("u", "v")))
+    labels = written(_propagated(both, rounds))
+    most = max(10, int(labels.count() * 0.25))
+    large = labels.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("community")
+    inside = written(labels.join(large, "community", "left_semi"))
+    if inside.isEmpty():
+        return labels
+    a, b = inside.select(F.col("node").alias("u"), F.col("community").alias("cu")), inside.select(F.col("node").alias("v"), F.col("community").alias("cv"))
+    split = _propagated(written(both.join(a, "u").join(b, "v").where("cu = cv").select("u", "v")), rounds)
+    # a part is named by its least node, so that no two of different communities share a name
+    parts = inside.join(split.withColumnRenamed("community", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    names = parts.groupBy("community", "part").agg(F.min("node").alias("name"))
+    kept = labels.join(large, "community", "left_anti").select("node", "community")
+    # the others keep theirs, which may be a node that went into a part, so they are named alike
+    kept = kept.join(kept.groupBy("community").agg(F.min("node").alias("name")), "community").select("node", F.col("name").alias("community"))
+    return kept.unionByName(parts.join(names, ["community", "part"]).select("node", F.col("name").alias("community")))
+
+
 def cohesion(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """community, n_nodes, n_edges within and cohesion: their share of all pairs, 1 for a single node."""
     a = labels.select(F.col("node").alias("u"), F.col("community").alias("cu"))

@@ -51,9 +51,11 @@ def shortest_path(edges: DataFrame, source: DataFrame, target: DataFrame, most:
     """hop and node of one shortest path from source to target (one node each), the least parents taken; empty if it has more than most hops."""
     reached = bfs(edges, source, most)
     end = reached.join(target.select("node"), "node")
-    path = end.select("node", "depth", "parent")
+    path = written(end.select("node", "depth", "parent"))
     out = path
     for _ in range(most):
-        path = reached.join(path.where("parent is not null").select(F.col("parent").alias("node")), "node").select("node", "depth", "parent")
+        path = written(reached.join(path.where("parent is not null").select(F.col("parent").alias("node")), "node").select("node", "depth", "parent"))
+        if path.isEmpty():
+            break
         out = out.unionByName(path)
     return out.select(F.col("depth").alias("hop"), "node")

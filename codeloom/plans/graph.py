@@ -35,9 +35,9 @@ def _brands(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("community"))
 
 
-def _first(edges: DataFrame) -> DataFrame:
-    """The node of the greatest out-degree, the least of equals."""
-    return graph.degrees(edges).orderBy(F.desc("out_degree"), "node").limit(1).select("node")
+def _first(edges: DataFrame, n: int = 1) -> DataFrame:
+    """The n nodes of the greatest out-degree, the least of equals."""
+    return graph.degrees(edges).orderBy(F.desc("out_degree"), "node").limit(n).select("node")
 
 
 def q_callers(spark: SparkSession, d: str) -> DataFrame:
@@ -78,6 +78,27 @@ def q_shortest_path(spark: SparkSession, d: str) -> DataFrame:
     return traversal.shortest_path(e, source, target, 4)
 
 
+def q_bfs_starts(spark: SparkSession, d: str) -> DataFrame:
+    """As the survey has it: from the three nodes of the greatest out-degree."""
+    e = written(_edges(spark, d))
+    return traversal.bfs(e, _first(e, 3), 3).select("node", "depth")
+
+
+def q_impact_radius(spark: SparkSession, d: str) -> DataFrame:
+    """As the survey has it: callers up to three steps away."""
+    a = written(_attributed(spark, d))
+    calls, imports = a.where("relation = 'calls'"), a.where("relation = 'uses'")
+    return traversal.impact(calls.select("u", "v"), imports.select("u", "v"), written(_first(a)), 3)
+
+
+def q_shortest_path_hops(spark: SparkSession, d: str) -> DataFrame:
+    """As the survey has it: eight hops, to the greatest node among the farthest within them."""
+    e = written(_edges(spark, d))
+    source = written(_first(e))
+    target = written(traversal.bfs(e, source, 8).where("depth > 0").orderBy(F.desc("depth"), F.desc("node")).limit(1).select("node"))
+    return traversal.shortest_path(e, source, target, 8)
+
+
 def q_graph_stats(spark: SparkSession, d: str) -> DataFrame:
     a = _attributed(spark, d)
     n = F.sum("n").over(Window.partitionBy())
@@ -132,7 +153,7 @@ def q_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_label_propagation(spark: SparkSession, d: str) -> DataFrame:
-    return communities.label_propagation(_edges(spark, d), 4)
+    return communities.label_propagation(_edges(spark, d))
 
 
 def q_representatives(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +176,7 @@ def q_violations(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        q_callers, q_degrees, q_god_nodes, q_node_score, q_bfs, q_impact, q_shortest_path, q_graph_stats, q_graph_diff, q_cohesion, q_inter_community, q_community_reach, q_surprise, q_calls, q_containment,
+        q_callers, q_degrees, q_god_nodes, q_node_score, q_bfs, q_impact, q_shortest_path, q_bfs_starts, q_impact_radius, q_shortest_path_hops, q_graph_stats, q_graph_diff, q_cohesion, q_inter_community, q_community_reach, q_surprise, q_calls, q_containment,
         q_file_context, q_components, q_label_propagation, q_representatives, q_unique_names, q_violations,
     )
 }
@@ -186,6 +207,18 @@ ORACLE = {
         t as (select node, depth from m where depth > 0 order by depth desc, node desc limit 1),
         r as (select depth as hop, node from t union all select r.hop - 1, p.parent from r join p on p.node = r.node where r.hop > 0)
         select hop::integer as hop, node from r""",
+    "q_bfs_starts": f"with recursive {_G}, {_DEG.format('g')}, {_WALK.format(3).replace('limit 1', 'limit 3')} select node, depth from m",
+    "q_impact_radius": f"""
+        with recursive {_A}, {_DEG.format('a')}, f as (select node from deg order by out_degree desc, node limit 1),
+        w as (select node, 0 as depth from f union select a.u, w.depth + 1 from w join a on a.v = w.node and a.relation = 'calls' where w.depth < 3), m as (select node, min(depth)::integer as depth from w group by 1)
+        select node, depth, case depth when 1 then 'calls' else 'transitive_call' end as relation from m where depth > 0
+        union all select distinct a.u, 1, 'imports' from a join f on a.v = f.node where a.relation = 'uses' and a.u not in (select node from m where depth > 0)""",
+    "q_shortest_path_hops": f"""
+        with recursive {_G}, {_DEG.format('g')}, {_WALK.format(8)},
+        p as (select m.node, m.depth, min(g.u) as parent from m join g on g.v = m.node join m x on x.node = g.u and x.depth = m.depth - 1 group by 1, 2),
+        t as (select node, depth from m where depth > 0 order by depth desc, node desc limit 1),
+        r as (select depth as hop, node from t union all select r.hop - 1, p.parent from r join p on p.node = r.node where r.hop > 0)
+        select hop::integer as hop, node from r""",
     "q_graph_stats": f"with {_A} select confidence, count(*) as n, round(100.0::double * count(*) / sum(count(*)) over (), 2) as share from a group by 1",
     "q_graph_diff": f"""
         with {_S}, o as (select distinct u, v from s where v is not null and u <> v and l_returnflag <> 'N'), n as (select distinct u, v from s where v is not null and u <> v and l_returnflag <> 'R')

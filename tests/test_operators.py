@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from codeloom import storage
 from codeloom.functions import repair, text
 from codeloom.operators import chunking, communities, filters, graph, metadata, snapshots, traversal, vectors
+from codeloom.plans import graph as plans
 from codeloom.streaming import feeds
 
 
@@ -340,6 +342,55 @@ def test_components_and_labels(spark, chain):
     assert len({r["community"] for r in labels.where("node <= 4").collect()}) == 1
 
 
+def _plain_labels(edges, rounds=20):
+    near = {}
+    for u, v in edges:
+        if u != v:
+            near.setdefault(u, set()).add(v)
+            near.setdefault(v, set()).add(u)
+    labels = {x: x for x in near}
+    for _ in range(rounds):
+        after = {x: min((-sum(labels[y] == c for y in ys), c) for c in {labels[y] for y in ys})[1] for x, ys in near.items()}
+        if after == labels:
+            break
+        labels = after
+    return {frozenset(x for x in labels if labels[x] == c) for c in labels.values()}
+
+
+def test_labels_until_stable_and_split(spark):
+    rng = random.Random(3)
+    tree = [(rng.randrange(max(0, i - 6), i), i) for i in range(1, 60)]
+    blocks = [(a, b) for g in range(0, 30, 6) for a in range(g, g + 6) for b in range(a) if b >= g or rng.random() < 0.4]
+    split = 0
+    for edges in (tree, blocks, [(i, i + 1) for i in range(40)], [(a, b) for a in range(12) for b in range(a)]):
+        whole = _plain_labels(edges)
+        most = max(10, int(sum(map(len, whole)) * 0.25))
+        parts = set()
+        for c in whole:
+            inner = _plain_labels([e for e in edges if set(e) <= c]) if len(c) > most else {c}
+            parts |= inner | {frozenset([x]) for x in c.difference(*inner)}
+        split += parts != whole
+        found = {}
+        for r in communities.label_propagation(spark.createDataFrame(edges, "u int, v int")).collect():
+            found.setdefault(r["community"], set()).add(r["node"])
+        assert {frozenset(x) for x in found.values()} == parts
+    assert split
+    assert communities.label_propagation(spark.createDataFrame([], "u int, v int")).isEmpty()
+
+
+def test_walks_at_the_parameters_of_the_survey(spark, tmp_path):
+    def tables(name, edges):
+        rows = [(k, p, n, 1, 1.0, 1.0, "A", "O") for k, e in enumerate(edges) for n, p in enumerate(e)]
+        spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        return f"{tmp_path}/{name}"
+
+    back = tables("back", [(1, 2), (2, 3), (3, 4), (4, 5), (4, 6)])
+    assert got(plans.q_impact_radius(spark, back)) == [(1, 3, "transitive_call"), (2, 2, "transitive_call"), (3, 1, "calls")]
+    far = tables("far", [(i, i + 1) for i in range(1, 12)] + [(1, 50), (20, 21), (20, 22), (30, 31), (30, 32)])
+    assert got(plans.q_bfs_starts(spark, far).where("depth = 0")) == [(1, 0), (20, 0), (30, 0)]
+    assert got(plans.q_shortest_path_hops(spark, far)) == [(i, i + 1) for i in range(9)]
+
+
 def test_measures(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4)], "u int, v int")
     labels = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b")], "node int, community string")
