@@ -15,7 +15,8 @@ from collections.abc import Callable
 ERROR = "\0"
 #: Strings and their results that are kept by a worker; the tables start anew when full.
 KEPT = 300_000
-#: Nesting of brackets beyond which a file counts as rejected.
+
+#: Nesting of brackets beyond which a shape counts as rejected, unless the caller asks for all.
 DEEPEST = 200
 
 _SYMBOL = re.compile(r"\s*('[^']+'|<\w+>|\w+|[()|?*+=])")
@@ -236,9 +237,11 @@ class Dialect:
             self.groups[whole] = char
         return char
 
-    def reduce(self, shape: str) -> str | None:
+    def reduce(self, shape: str, deepest: int | None = DEEPEST) -> str | None:
         """The shape without brackets, or None if they don't match or a group can be nothing."""
-        for _ in range(DEEPEST):
+        turns = 0
+        while deepest is None or turns < deepest:  # each turn that finds a group makes the shape shorter
+            turns += 1
             shape, n = INNERMOST.subn(self._group, shape)
             if ERROR in shape:
                 return None

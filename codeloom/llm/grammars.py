@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Callable
 
-from codeloom.llm.gll import ERROR, GROUPS, Dialect, Grammar, Kinds, outside_angles
+from codeloom.llm.gll import DEEPEST, ERROR, GROUPS, Dialect, Grammar, Kinds, outside_angles
 
 BRACE = f"[{chr(GROUPS['{'])}-{chr(GROUPS['('] - 1)}]"
 PAREN = f"[{chr(GROUPS['('])}-{chr(GROUPS['['] - 1)}]"
@@ -63,19 +63,24 @@ def _other(name: str, number: str, string: str, more: Callable[[str], str] | Non
     return kind
 
 
+#: The line that names a script's interpreter.
+_INTERPRETER = re.compile(r"\A#![^\n\r\u2028\u2029]*")
+
+
 class Language:
     """Reads content into a shape and asks the dialects, any of which may accept it."""
 
     def __init__(self, token: re.Pattern[str], dialects: list[tuple[Dialect, Kinds, Callable[[str], str], Callable[[Dialect, str], bool]]]):
         self.token, self.dialects = token, dialects
 
-    def accepts(self, content: str) -> bool:
-        tokens = self.token.findall(content.removeprefix("﻿"))
+    def accepts(self, content: str, deepest: int | None = DEEPEST) -> bool:
+        content = content.removeprefix("﻿")
+        tokens = self.token.findall(_INTERPRETER.sub("", content) if self.token is _JS_TOKEN else content)
         for dialect, kinds, lines, top in self.dialects:
             shape = "".join(map(kinds.__getitem__, tokens))
             if ERROR in shape:
                 continue
-            reduced = dialect.reduce(lines(shape))
+            reduced = dialect.reduce(lines(shape), deepest)
             if reduced is not None and top(dialect, dialect.clean(reduced)):
                 return True
         return False
@@ -635,7 +640,7 @@ class Python(Language):
                 return found[0], found[1], line[at + 1 :]
         return None
 
-    def accepts(self, content: str) -> bool:
+    def accepts(self, content: str, deepest: int | None = DEEPEST) -> bool:
         if "\0" in content:
             return False
         tokens = _PY_TOKEN.findall("\n" + content.removeprefix("﻿"))

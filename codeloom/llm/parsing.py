@@ -41,7 +41,7 @@ def language(name: str) -> G.Language:
 
 def fault(content: str, lang: str) -> str | None:
     """Why content isn't a file of lang, or None if it is. What the grammars reject has an exact check where the platform has one."""
-    if language(lang).accepts(content):
+    if language(lang).accepts(content, None):
         return None
     if lang == "python":
         try:
@@ -69,7 +69,7 @@ def check(df: DataFrame) -> DataFrame:
     success is null where nothing can be judged: for null content and other extensions (a null
     file_path is one). The empty file is judged as its language says: valid for Python, JavaScript,
     TypeScript and Java, not for Go and JSON. Repeated rows are judged each for itself; further
-    columns of df are not read. Brackets nested deeper than gll.DEEPEST are rejected.
+    columns of df are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -417,6 +417,15 @@ def test_json_against_the_platform(value, at, cut):
     assert parsing.language("json").accepts(text) is ok
 
 
+def test_interpreter_lines_and_deep_brackets():
+    for lang in ("javascript", "typescript"):
+        assert parsing.fault("#!/usr/bin/env node\nconst a = 1;\n", lang) is None and parsing.fault("#!/usr/bin/env node", lang) is None
+        assert parsing.fault("const a = 1;\n#!/usr/bin/env node\n", lang) and parsing.fault("#!/usr/bin/env node\nconst = 1 +;\n", lang)
+        assert parsing.fault("x = " + "[" * 500 + "]" * 500 + ";", lang) is None and parsing.fault("x = " + "[" * 500 + "]" * 499 + ";", lang)
+    assert parsing.fault("class A { int f() { return " + "(" * 300 + "1" + ")" * 300 + "; } }", "java") is None
+    assert parsing.fault("package a\n\nvar x = " + "(" * 300 + "1" + ")" * 300 + "\n", "go") is None
+
+
 def test_check_rows(spark):
     rows = [("r", "a.py", "x = 1\n"), ("r", "b.py", "x = (\n"), ("r", "b.py", "x = (\n"), ("r", "c.py", ""), ("r", "d.go", ""), ("r", "e.md", "<<<"), ("r", "f.py", None), ("r", None, "x"), ("q", "g.JSON", "{"), (None, "h.js", "let 1")]
     df = spark.createDataFrame(rows, "repo_id string, file_path string, content string").withColumn("language", F.lit("clash"))
