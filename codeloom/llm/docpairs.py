@@ -1,6 +1,6 @@
 """Problem 1: functions paired with their documentation.
 
-A lexer that knows strings and comments blanks them, so that declarations are found in what is
+The state machines of lexing.py tell strings and comments, which are blanked, so that declarations are found in what is
 left, braces can be matched to delimit bodies, and a comment is known by its place. The comment
 that stands directly before a declaration (or before its annotations), or the docstring of Python,
 is its documentation; it is dropped if it says nothing.
@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.parsing import LANGUAGES, extension, fault
+from codeloom.llm.lexing import LEXERS
+from codeloom.llm.parsing import LANGUAGES, Verdicts, extension, fault
 
 
 class Pair(NamedTuple):
@@ -33,14 +34,6 @@ class Pair(NamedTuple):
 
 # --------------------------------------------------------------------------- lexing
 
-_C = r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\[\s\S])*\"?|'(?:[^'\\\n]|\\[\s\S])*'?"
-_LEX = {
-    "python": re.compile(r"#[^\n]*|(?:\b[rRbBuUfFtT]{1,2})?(?:\"\"\"(?:[^\\]|\\[\s\S])*?(?:\"\"\"|\Z)|'''(?:[^\\]|\\[\s\S])*?(?:'''|\Z)|\"(?:[^\"\\\n]|\\[\s\S])*\"?|'(?:[^'\\\n]|\\[\s\S])*'?)"),
-    "javascript": re.compile(r"(?:(?<=[(,=:\[!&|?{;+\-*%~^])|(?<=return)|(?<=typeof)|(?<=case))[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/|" + _C + r"|`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|\{[^{}`]*\}|`[^`]*`)*\})*`?"),
-    "go": re.compile(_C + r"|`[^`]*`?"),
-    "java": re.compile(r"\"\"\"[ \t\f]*\r?\n(?:[^\\]|\\[\s\S])*?\"\"\"|" + _C),
-}
-_LEX["typescript"] = _LEX["javascript"]
 _NOT_LINE_END = re.compile(r"[^\n]")
 _NEXT = re.compile(r"[ \t\r]*\n?[ \t]*")
 _BLANKS = re.compile(r"\s*")
@@ -52,19 +45,16 @@ class Source:
 
     def __init__(self, content: str, lang: str):
         self.content, self.lang = content, lang
-        self.comments: list[tuple[int, int]] = []
-        self.strings: dict[int, int] = {}
+        lexed = LEXERS[lang](content)
+        self.comments = lexed.comments
+        self.strings = dict(lexed.literals)
         parts, at = [], 0
-        for m in _LEX[lang].finditer(content):
-            token = m.group()
-            parts.append(content[at : m.start()])
-            comment = token[0] == "#" if lang == "python" else token[:2] in ("//", "/*")
-            if comment:
-                self.comments.append(m.span())
-            else:
-                self.strings[m.start()] = m.end()
+        spans = sorted([(*c, True) for c in lexed.comments] + [(*x, False) for x in lexed.literals])
+        for start, end, comment in spans:
+            parts.append(content[at:start])
+            token = content[start:end]
             parts.append(_NOT_LINE_END.sub(" ", token) if comment else '"' + _NOT_LINE_END.sub(" ", token[1:-1]) + '"' * (len(token) > 1))
-            at = m.end()
+            at = end
         self.text = "".join(parts) + content[at:]
         self._ends = [m.start() for m in re.finditer("\n", content)]
 
@@ -121,6 +111,7 @@ _GO_FUNC = re.compile(r"^func[ \t]*(?:\([^()]*\)[ \t]*)?([^\W\d]\w*)[ \t]*(?=[\[
 _ID = r"(?:[^\W\d]|\$)[\w$]*"
 _JS_FUNC = re.compile(rf"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?function\b\s*\*?\s*({_ID})\s*(?=[(<])")
 _JS_BOUND = re.compile(rf"(?:export\s+)?(?:(?:const|let|var)\s+|(?:(?:public|private|protected|static|readonly|override)\s+)*)#?({_ID})\s*(?::[^=;]*(?:=>[^=;]*)?)?=\s*(?:async\b\s*)?(?=\(|<|function\b|{_ID}\s*=>)")
+_JS_PROPERTY = re.compile(rf"({_ID})\s*:\s*(?:async\b\s*)?(?=function\b|\(|{_ID}\s*=>)")
 _JS_METHOD = re.compile(rf"(?:(?:public|private|protected|static|async|override|abstract|readonly|get|set)\s+)*\*?\s*#?({_ID})\s*\??(?=[(<])")
 _JS_WORDS = {"if", "for", "while", "switch", "catch", "function", "return", "super", "with", "new", "await", "typeof", "throw", "import"}
 _JAVA_METHOD = re.compile(
@@ -197,7 +188,7 @@ def _script(s: Source) -> Iterator[Pair]:
     for doc, start in s.documented():
         if m := _JS_FUNC.match(text, start):
             yield _brace(s, m[1], start, s.closing(text.index("(", m.end())), doc)
-        elif m := _JS_BOUND.match(text, start):
+        elif m := _JS_BOUND.match(text, start) or _JS_PROPERTY.match(text, start):
             at = s.closing(m.end()) if text[m.end()] == "<" else m.end()
             if text.startswith("function", at):
                 yield _brace(s, m[1], start, s.closing(text.index("(", at)), doc)
@@ -303,11 +294,12 @@ def extract(df: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Verdicts[list[Pair]] = Verdicts(pairs)  # copies of a text are read once in a task
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 out: list[tuple] = []
                 for repo, path, content, lang in zip(*[c.to_pylist() for c in b.slice(k, 256).columns], strict=True):
-                    out += [(repo, path, *p) for p in pairs(content, lang)]
+                    out += [(repo, path, *p) for p in known(content, lang)]
                 cols = list(zip(*out, strict=True)) or [[]] * 7
                 types = [pa.string()] * 5 + [pa.int32()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["repo_id", "file_path", "symbol_name", "signature", "docstring", "start_line", "end_line"])

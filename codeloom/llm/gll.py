@@ -12,11 +12,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-ERROR = "\0"
+from codeloom.llm.lexing import END, ERROR, SUB
+
 #: Strings and their results that are kept by a worker; the tables start anew when full.
 KEPT = 300_000
 
-#: Nesting of brackets beyond which a shape counts as rejected, unless the caller asks for all.
+#: Nesting of brackets that Language.accepts looks into unless the caller asks for all, as parsing.fault does.
 DEEPEST = 200
 
 _SYMBOL = re.compile(r"\s*('[^']+'|<\w+>|\w+|[()|?*+=])")
@@ -42,7 +43,7 @@ class Grammar:
         missing = {s for alts in self.rules.values() for a in alts for s in a if isinstance(s, str)} - set(self.rules)
         assert not missing, missing
         self._prepare()
-        self.known: dict[tuple[str, str], bool] = {}
+        self.known: dict[tuple[tuple[str, ...], str], frozenset[str]] = {}
 
     def _terminal(self, t: str) -> int:
         return self.terminals.setdefault(t, len(self.terminals))
@@ -68,7 +69,8 @@ class Grammar:
                 unit = s
             if symbols and symbols[0] in "?*+":
                 op, again = symbols.pop(0), f"{name}~{len(self.rules)}"
-                self.rules[again] = [[unit], []] if op == "?" else [[unit, again], []]
+                # recursion on the left: a list has one node of the stack, whatever its length
+                self.rules[again] = [[unit], []] if op == "?" else [[again, unit], []]
                 if op == "+":
                     alts[-1].append(unit)
                 unit = again
@@ -103,26 +105,31 @@ class Grammar:
                 self.entries[name].append((tuple(alt), mask, empty))
 
     def accepts(self, start: str, text: str) -> bool:
-        known = self.known.get((start, text))
+        return bool(self.together((start,), text))
+
+    def together(self, starts: tuple[str, ...], text: str) -> frozenset[str]:
+        """Which of some rules derive the text. They are run together on one stack, so that what they share is read once."""
+        known = self.known.get((starts, text))
         if known is None:
             if len(self.known) > KEPT:
                 self.known.clear()
-            known = self.known[start, text] = self._recognise(start, text)
+            known = self.known[starts, text] = self._recognise(starts, text)
         return known
 
-    def _recognise(self, start: str, text: str) -> bool:
+    def _recognise(self, starts: tuple[str, ...], text: str) -> frozenset[str]:
         masks, entries, n = [self.masks.get(c, 0) for c in text], self.entries, len(text)
         if not all(masks):
-            return False
+            return frozenset()
         masks.append(0)
         # a node of the stack stands for a call of a rule at a position; its edges lead to where the callers go on
-        edges: dict[tuple[str, int], set[tuple]] = {(start, 0): set()}
-        ends: dict[tuple[str, int], set[int]] = {(start, 0): set()}
-        root = (start, 0)
+        edges: dict[tuple[str, int], set[tuple]] = {(s, 0): set() for s in starts}
+        ends: dict[tuple[str, int], set[int]] = {(s, 0): set() for s in starts}
+        missing = set(edges)
         todo: list[tuple[tuple[int | str, ...], int, tuple[str, int], int]] = []
-        for alt, mask, empty in entries[start]:
-            if empty or mask & masks[0]:
-                todo.append((alt, 0, root, 0))
+        for s in starts:
+            for alt, mask, empty in entries[s]:
+                if empty or mask & masks[0]:
+                    todo.append((alt, 0, (s, 0), 0))
         while todo:
             alt, dot, node, at = todo.pop()
             size = len(alt)
@@ -147,12 +154,14 @@ class Grammar:
                 break
             else:
                 if at not in ends[node]:
-                    if node == root and at == n:
-                        return True
+                    if at == n and node in missing:
+                        missing.remove(node)
+                        if not missing:
+                            break
                     ends[node].add(at)
                     for a, d, p in edges[node]:
                         todo.append((a, d, p, at))
-        return False
+        return frozenset(s for s in starts if (s, 0) not in missing)
 
 
 class Kinds(dict):
@@ -170,10 +179,11 @@ class Kinds(dict):
         return kind
 
 
-#: Where the characters of groups begin, by opening bracket.
-GROUPS = {"{": 0xE000, "(": 0xE800, "[": 0xF000}
-CLOSING = {"{": "}", "(": ")", "[": "]"}
-INNERMOST = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
+#: Where the characters of groups begin, by opening bracket, and for how many sets of roles each has room.
+GROUPS = {"{": 0xF0000, "(": 0xF4000, "[": 0xF8000, SUB: 0xFC000}
+ROOM = 0x3FFF
+INNERMOST = re.compile("|".join(f"\\{a}[^()\\[\\]{{}}{SUB}{END}]*\\{z}" for a, z in ("()", "[]", "{}", (SUB, END))))
+_BRACKETS = re.compile(f"[()\\[\\]{{}}{SUB}{END}]")
 
 
 def outside_angles(text: str, separator: str) -> list[str]:
@@ -201,7 +211,8 @@ class Dialect:
     def __init__(self, name: str, grammar: Grammar, roles: dict[str, dict[str, tuple]], clean: Callable[[str], str] = lambda s: s):
         self.name, self.grammar, self.roles, self.clean = name, grammar, roles, clean
         self.groups: dict[str, str] = {}
-        self.played: dict[tuple[str, frozenset[str]], str] = {}
+        self.played: dict[str, dict[frozenset[str], str]] = {bracket: {} for bracket in roles}
+        assert all(2 ** len(r) <= ROOM for r in roles.values())
 
     def plays(self, how: tuple, text: str) -> bool:
         accepts = self.grammar.accepts
@@ -226,10 +237,10 @@ class Dialect:
                 self.groups.clear()
             text = self.clean(whole[1:-1])
             can = frozenset(r for r, how in self.roles[whole[0]].items() if self.plays(how, text))
-            char = self.played.get((whole[0], can))
+            played = self.played[whole[0]]
+            char = played.get(can)
             if char is None:
-                char = chr(GROUPS[whole[0]] + len(self.played)) if can else ERROR
-                self.played[whole[0], can] = char
+                char = played[can] = chr(GROUPS[whole[0]] + len(played)) if can else ERROR
                 if can:
                     for r in can:
                         if (bit := self.grammar.terminals.get(f"<{r}>")) is not None:
@@ -237,7 +248,7 @@ class Dialect:
             self.groups[whole] = char
         return char
 
-    def reduce(self, shape: str, deepest: int | None = DEEPEST) -> str | None:
+    def reduce(self, shape: str, deepest: int | None = None) -> str | None:
         """The shape without brackets, or None if they don't match or a group can be nothing."""
         turns = 0
         while deepest is None or turns < deepest:  # each turn that finds a group makes the shape shorter
@@ -246,5 +257,5 @@ class Dialect:
             if ERROR in shape:
                 return None
             if not n:
-                return None if re.search(r"[()\[\]{}]", shape) else shape
+                return None if _BRACKETS.search(shape) else shape
         return None

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable
 
-from codeloom.llm.gll import DEEPEST, ERROR, GROUPS, Dialect, Grammar, Kinds, outside_angles
+from codeloom.llm import lexing
+from codeloom.llm.gll import DEEPEST, GROUPS, ROOM, Dialect, Grammar, Kinds, outside_angles
+from codeloom.llm.lexing import END, ERROR, FORMATTED, REGEX, SUB, TEMPLATE
 
-BRACE = f"[{chr(GROUPS['{'])}-{chr(GROUPS['('] - 1)}]"
-PAREN = f"[{chr(GROUPS['('])}-{chr(GROUPS['['] - 1)}]"
+BRACE = f"[{chr(GROUPS['{'])}-{chr(GROUPS['{'] + ROOM)}]"
+PAREN = f"[{chr(GROUPS['('])}-{chr(GROUPS['('] + ROOM)}]"
 SOFT = "⏎"  # a line end where a statement may end
 
 # --------------------------------------------------------------------------- building blocks
@@ -27,7 +28,7 @@ def _grammar(rules: str, classes: dict[str, str], names: str = "") -> Grammar:
 
 
 def _fixed(g: Grammar) -> dict[str, str]:
-    return {t: c for t, c in g.chars.items() if t[0] != "\x01"} | {b: b for b in "()[]{}"}
+    return {t: c for t, c in g.chars.items() if t[0] != "\x01"} | {b: b for b in f"()[]{{}}{SUB}{END}"}
 
 
 def _of(g: Grammar, words: str) -> str:
@@ -68,36 +69,25 @@ _INTERPRETER = re.compile(r"\A#![^\n\r\u2028\u2029]*")
 
 
 class Language:
-    """Reads content into a shape and asks the dialects, any of which may accept it."""
+    """Reads content into a shape and asks which dialects accept it: they share the shape, the groups and the stack, and any of them will do."""
 
-    def __init__(self, token: re.Pattern[str], dialects: list[tuple[Dialect, Kinds, Callable[[str], str], Callable[[Dialect, str], bool]]]):
-        self.token, self.dialects = token, dialects
+    def __init__(self, tokens: Callable[[str], list[str]], parts: tuple[Dialect, Kinds, Callable[[str], str], Callable[[Dialect, str], bool]], interpreter: bool = False):
+        self.tokens, self.interpreter = tokens, interpreter
+        self.dialect, self.kinds, self.lines, self.top = parts
 
     def accepts(self, content: str, deepest: int | None = DEEPEST) -> bool:
-        content = content.removeprefix("﻿")
-        tokens = self.token.findall(_INTERPRETER.sub("", content) if self.token is _JS_TOKEN else content)
-        for dialect, kinds, lines, top in self.dialects:
-            shape = "".join(map(kinds.__getitem__, tokens))
-            if ERROR in shape:
-                continue
-            reduced = dialect.reduce(lines(shape), deepest)
-            if reduced is not None and top(dialect, dialect.clean(reduced)):
-                return True
-        return False
+        content = content.removeprefix("\ufeff")
+        if self.interpreter:
+            content = _INTERPRETER.sub("", content)
+        shape = "".join(map(self.kinds.__getitem__, self.tokens(content)))
+        if ERROR in shape:
+            return False
+        reduced = self.dialect.reduce(self.lines(shape), deepest)
+        return reduced is not None and self.top(self.dialect, self.dialect.clean(reduced))
 
 
 # --------------------------------------------------------------------------- JavaScript and TypeScript
 
-_NUMBER = r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)"
-_JS_TOKEN = re.compile(
-    r"(?:(?<=[(,=:\[!&|?{;+\-*%~^])|(?<=return)|(?<=typeof)|(?<=case))[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"
-    r"|//[^\n]*|/\*(?:[\s\S]*?\*/|[\s\S]*)"
-    r"|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'"
-    r"|`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`\"']|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\{[^{}`]*\}|`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{[^{}`]*\})*`)*\})*`"
-    rf"|{_NUMBER}n?(?![\w$])|(?:[^\W\d]|\$)[\w$]*"
-    r"|>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|\*\*"
-    r"|\n|\S"
-)
 _JS = """
 Stmts = Stmt*
 Stmt = <Block> | ';' | Var ';' | SExpr ';' | 'if' <Paren> Stmt ('else' Stmt)? | 'for' 'await'? <ForHead> Stmt | 'while' <Paren> Stmt
@@ -106,6 +96,7 @@ Stmt = <Block> | ';' | Var ';' | SExpr ';' | 'if' <Paren> Stmt ('else' Stmt)? |
   | 'with' <Paren> Stmt | NAME ':' Stmt | 'debugger' ';' | Func | ClassD | More
 Cases = (('case' Expr | 'default') ':' | Stmt)*
 Items = (Import | Export | Top)*
+ScriptItems = (Top | 'with' <Paren> Top)*
 Top = <Block> | ';' | Var ';' | SExpr ';' | 'if' <Paren> Stmt ('else' Stmt)? | 'for' 'await'? <ForHead> Stmt | 'while' <Paren> Stmt
   | 'do' Stmt 'while' <Paren> ';'? | 'throw' Expr ';' | 'try' <Block> ('catch' <Paren>? <Block> ('finally' <Block>)? | 'finally' <Block>)
   | 'switch' <Paren> <Switch> | NAME ':' Top | 'debugger' ';' | Func | ClassD | More
@@ -141,17 +132,18 @@ AssignOp = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '>>=' | '>>>
 Cond = Bin ('?' Assign ':' Assign)?
 Bin = Un (BinOp Un | As)*
 BinOp = '+' | '-' | '*' | '/' | '%' | '**' | '==' | '!=' | '===' | '!==' | '<' | '>' | '<=' | '>=' | '&&' | '||' | '??' | '&' | '|' | '^' | '<<' | '>' '>' | '>' '>' '>' | 'in' | 'instanceof'
-Un = PreOp* Lhs ('++' | '--')?
+Un = (PreOp | Assertion)* Lhs ('++' | '--')?
 PreOp = '!' | '~' | '+' | '-' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await'
 Lhs = Prim Suffix*
-Suffix = '.' WORD | '.' '#' WORD | '?.' (WORD | <Args> | <Index> | '#' WORD) | <Index> | <Args> | TEMPLATE | TypeSuffix
+Suffix = '.' WORD | '.' '#' WORD | '?.' (WORD | <Args> | <Index> | '#' WORD) | <Index> | <Args> | Templ | TypeSuffix
+Templ = TEMPLATE <Sub>*
 Prim = SPrim | <Object> | FuncE | ClassE
-SPrim = NAME | NUM | STR | TEMPLATE | REGEX | 'this' | 'super' | 'null' | 'true' | 'false' | <Paren> | <Array> | 'new' Lhs | 'new' '.' WORD | 'import' <Args> | 'import' '.' WORD | '#' WORD
+SPrim = NAME | NUM | STR | Templ | REGEX | 'this' | 'super' | 'null' | 'true' | 'false' | <Paren> | <Array> | 'new' Lhs | 'new' '.' WORD | 'import' <Args> | 'import' '.' WORD | '#' WORD
 SExpr = SAssign (',' Assign)*
 SAssign = SCond | SLhs AssignOp Assign | Arrow | 'yield' '*'? Assign?
 SCond = SBin ('?' Assign ':' Assign)?
 SBin = SUn (BinOp Un | As)*
-SUn = PreOp PreOp* Lhs ('++' | '--')? | SLhs ('++' | '--')?
+SUn = (PreOp | Assertion) (PreOp | Assertion)* Lhs ('++' | '--')? | SLhs ('++' | '--')?
 SLhs = SPrim Suffix*
 """
 _JS_ONLY = """
@@ -174,6 +166,7 @@ MemberMod = 'static' | 'accessor'
 Heritage = ('extends' Lhs)?
 As = 'let' ERR
 TypeSuffix = 'let' ERR
+Assertion = 'let' ERR
 """
 _TS_ONLY = """
 More = 'declare' (Var ';' | Func | ClassD | More | 'global' <Block> | 'module' STR (<Module> | ';')) | 'interface' NAME Gen ('extends' Ref (',' Ref)*)? <TypeBody>
@@ -197,15 +190,16 @@ ClassMod = 'abstract'?
 MemberMod = 'static' | 'accessor' | 'public' | 'private' | 'protected' | 'readonly' | 'override' | 'abstract' | 'declare'
 Heritage = ('extends' Lhs TypeArgs?)? ('implements' Ref (',' Ref)*)?
 As = ('as' | 'satisfies') (Type | 'const')
-TypeSuffix = '!' | TypeArgs <Args> | TypeArgs TEMPLATE
+TypeSuffix = '!' | TypeArgs <Args> | TypeArgs Templ
 TypeArgs = '<' Type (',' Type)* '>'
+Assertion = '<' (Type | 'const') '>'
 Ref = NAME ('.' WORD)* TypeArgs?
 Type = Union | Union 'extends' Union '?' Type ':' Type | FuncType | 'asserts'? (NAME | 'this') 'is' Type
 FuncType = 'abstract'? 'new'? Gen <Params> '=>' (Type | 'asserts' NAME)
 Union = ('|' | '&')? TypeUn (('|' | '&') (TypeUn | FuncType))*
 TypeUn = ('keyof' | 'unique' | 'readonly' | 'infer')* TypePost
 TypePost = TypePrim (<EmptyIdx> | <TypeIdx>)*
-TypePrim = Ref | 'void' | 'null' | 'this' | 'true' | 'false' | STR | '-'? NUM | TEMPLATE | <TypeParen> | <TypeBody> | <Mapped> | <Tuple> | 'typeof' NAME ('.' WORD)* TypeArgs? | 'import' <Args> ('.' WORD)* TypeArgs?
+TypePrim = Ref | 'void' | 'null' | 'this' | 'true' | 'false' | STR | '-'? NUM | TEMPLATE <TypeSub>* | <TypeParen> | <TypeBody> | <Mapped> | <Tuple> | 'typeof' NAME ('.' WORD)* TypeArgs? | 'import' <Args> ('.' WORD)* TypeArgs?
 TMembers = TMember*
 TMember = (';' | ',') | TMod* Key '?'? Ann (';' | ',') | TMod* ('get' | 'set')? Key '?'? Gen <Params> Ret (';' | ',') | TMod* <IndexSig> Ann (';' | ',') | 'new'? Gen <Params> Ret (';' | ',')
 TMod = 'readonly'
@@ -226,9 +220,9 @@ def _script(ts: bool) -> tuple[Dialect, Kinds, Callable[[str], str], Callable[[D
     apart = _of(g, "else catch finally while from as of in instanceof satisfies extends implements is")
     starts = "".join(c for c in "n1sr@#" + words if c not in apart)
     ends = "n1str" + _of(g, "this super null true false return break continue debugger ++ -- " + _JS_NAMES)
-    soft = re.compile(rf"([{ends})\]}}])\n+(?=[{re.escape(starts)}!~]|{re.escape(g.chars['++'])}|{re.escape(g.chars['--'])})")
+    soft = re.compile(rf"([{ends})\]}}{END}])\n+(?=[{re.escape(starts)}!~]|{re.escape(g.chars['++'])}|{re.escape(g.chars['--'])})")
     # before else and the like, a line end may only end a statement that isn't a block
-    kept = re.compile(rf"([{ends})\]])\n+(?=[{_of(g, 'else while')}])")
+    kept = re.compile(rf"([{ends})\]{END}])\n+(?=[{_of(g, 'else while')}])")
     heads = re.compile(rf"([{_of(g, 'if while for with')}]{_of(g, 'await')}?{PAREN}|@(?:n\.)*n{PAREN}?){SOFT}")
     cut = re.compile(rf"(?<=;)(?![{_of(g, 'else')}])|(?<={BRACE})(?=[{re.escape(starts)}])")
 
@@ -238,42 +232,39 @@ def _script(ts: bool) -> tuple[Dialect, Kinds, Callable[[str], str], Callable[[D
     def clean(text: str) -> str:
         return heads.sub(r"\1", text).replace(SOFT, ";") if SOFT in text else text
 
-    def template(t: str) -> str:
-        if t[0] == "`" and len(t) > 1:
-            for m in re.finditer(r"\$\{((?:[^{}`]|\{[^{}]*\}|`[^`]*`)*)\}", t):
-                inner = dialect.reduce("".join(map(kinds.__getitem__, _JS_TOKEN.findall(m[1]))).replace("\n", ""))
-                if inner is None or not g.accepts("Expr", inner):
-                    return ERROR
-            return "t"
-        t = t.lstrip(" \t")
-        if t[0] == "/" and len(t) > 2:
-            return "r"
-        return "\n" if t == "\n" else ERROR
-
-    kinds = Kinds(_fixed(g), _other("n", "1", "s", template))
+    kinds = Kinds(_fixed(g) | {TEMPLATE: "t", REGEX: "r", '""': "s", "\n": "\n"}, _other("n", "1", "s"))
     roles = {
         "{": {"Block": _segments("Stmts", cut), "Switch": _segments("Cases", cut), "Object": ("Prop", ","), "ClassBody": _segments("Members", cut), "ObjPat": ("ObjP", ","), "Specs": ("Spec", ",")},
-        "(": {"Args": ("Arg", ","), "Params": ("Param", ","), "ForHead": (lambda d, s: s.count(",") < 200 and g.accepts("ForHead", s),)},
+        "(": {"Args": ("Arg", ","), "Params": ("Param", ","), "ForHead": ("ForHead",)},
         "[": {"Array": ("Elem", ","), "ArrPat": ("ArrP", ",")},
+        SUB: {"Sub": ("Expr",)},
     }
-    each = lambda s: all(g.accepts("Assign", p) for p in s.split(",")) or ("<" in s and all(g.accepts("Assign", p) for p in outside_angles(s, ",")))
+    each = lambda s: all(g.accepts("Assign", p) for p in s.split(",")) or ("<" in s and g.accepts("Expr", s))
     roles["("]["Paren"] = (lambda d, s: each(s) or g.accepts("Decl", s),)  # with the name of a catch
     roles["["]["Index"] = (lambda d, s: each(s),)
     if ts:
         roles["{"] |= {"TypeBody": _segments("TMembers", cut), "EnumBody": ("EnumEl", ","), "Module": _segments("Items", cut), "Mapped": ("Mapped",)}
         roles["("] |= {"TypeParen": ("Type",)}
+        roles[SUB] |= {"TypeSub": ("Type",)}
         roles["["] |= {"EmptyIdx": (lambda d, s: s == "",), "TypeIdx": ("Type",), "IndexSig": ("IndexSig",), "MapKey": ("MapKey",), "Tuple": ("TupleEl", ",")}
     dialect = Dialect("typescript" if ts else "javascript", g, roles, clean)
-    items = _segments("Items", cut)[0]
-    return dialect, kinds, lines, items
+
+    def top(d: Dialect, text: str) -> bool:
+        """Statements at the top of a script, or of a module: both are tried on each part at once."""
+        alive = frozenset(("ScriptItems", "Items"))
+        parts = cut.split(text)
+        last = parts.pop()
+        for p in parts:
+            alive &= g.together(("Items", "ScriptItems"), p)
+            if not alive:
+                return False
+        return not last or bool(alive & (g.together(("Items", "ScriptItems"), last) | g.together(("Items", "ScriptItems"), last + ";")))
+
+    return dialect, kinds, lines, top
 
 
 # --------------------------------------------------------------------------- Go
 
-_GO_TOKEN = re.compile(
-    r"//[^\n]*|/\*(?:[\s\S]*?\*/|[\s\S]*)|`[^`]*`|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\(?:x[\da-fA-F]{2}|u[\da-fA-F]{4}|U[\da-fA-F]{8}|[0-7]{3}|.))'"
-    rf"|{_NUMBER}i?(?![\w])|[^\W\d]\w*|\.\.\.|<<=|>>=|&\^=|:=|<-|\+\+|--|&&|\|\||&\^|==|!=|<=|>=|<<|>>|\+=|-=|\*=|/=|%=|&=|\|=|\^=|\n|\S"
-)
 _GO = """
 Package = 'package' NAME
 Item = 'import' (ImportOne | <Imports>) | Decl | FuncDecl
@@ -359,14 +350,11 @@ def _go() -> tuple[Dialect, Kinds, Callable[[str], str], Callable[[Dialect, str]
 
 # --------------------------------------------------------------------------- Java
 
-_JAVA_TOKEN = re.compile(
-    r"//[^\n]*|/\*(?:[\s\S]*?\*/|[\s\S]*)|\"\"\"[ \t\f]*\r?\n(?:[^\\]|\\[\s\S])*?\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\(?:u+[\da-fA-F]{4}|[0-7]{1,3}|.))'"
-    r"|(?:0[xX][\da-fA-F_]+|0[bB][01_]+|(?:\d[\d_]*\.?(?:\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)[lLfFdD]?(?![\w$])|(?:[^\W\d]|\$)[\w$]*"
-    r"|\.\.\.|<<=|->|::|\+\+|--|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|\S"
-)
 _JAVA = """
-Items = Item*
-Item = Anno* 'package' QName ';' | 'import' 'static'? QName ('.' '*')? ';' | TypeDecl | ';' | Anno* 'open'? 'module' QName <ModuleBody>
+Package = Anno* 'package' QName ';'
+Import = 'import' 'static'? QName ('.' '*')? ';'
+TypeItem = TypeDecl | ';'
+ModuleItem = Anno* 'open'? 'module' QName <ModuleBody>
 QName = NAME ('.' NAME)*
 Mods = (Mod | Anno)*
 Mod = 'public' | 'private' | 'protected' | 'static' | 'final' | 'abstract' | 'native' | 'synchronized' | 'transient' | 'volatile' | 'strictfp' | 'default' | 'sealed' | 'non' '-' 'sealed'
@@ -454,12 +442,19 @@ def _java() -> tuple[Dialect, Kinds, Callable[[str], str], Callable[[Dialect, st
         "[": {"Index": ("Expr",), "Empty": (lambda d, s: s == "",)},
     }
 
-    return Dialect("java", g, roles), kinds, lambda s: s, lambda d, s: strict("Items")[0](d, s)
+    letters = {"Package": "p", "Import": "i", "TypeItem": "t", "ModuleItem": "m"}
+    starts, order = tuple(letters), re.compile("p?i*t*|i*m")
+
+    def top(d: Dialect, text: str) -> bool:
+        """The parts of an ordinary file or of one that declares a module, tried on each part at once, in the order of either."""
+        can = [g.together(starts, p) for p in cut.split(text) if p and p != ";"]
+        return all(can) and order.fullmatch("".join(letters[min(c)] for c in can)) is not None
+
+    return Dialect("java", g, roles), kinds, lambda s: s, top
 
 
 # --------------------------------------------------------------------------- JSON
 
-_JSON_TOKEN = re.compile(r"\"(?:[^\"\\\x00-\x1f]|\\(?:[\"\\/bfnrt]|u[\da-fA-F]{4}))*\"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|true|false|null|[^ \t\r\n]")
 _JSON = """
 Value = STR | NUM | 'true' | 'false' | 'null' | <Object> | <Array>
 Member = STR ':' Value
@@ -477,37 +472,27 @@ def _json() -> tuple[Dialect, Kinds, Callable[[str], str], Callable[[Dialect, st
     return Dialect("json", g, {"{": {"Object": parts("Member")}, "[": {"Array": parts("Value")}, "(": {}}), kinds, lambda s: s, lambda d, s: g.accepts("Value", s)
 
 
-def exact_json(content: str) -> bool:
-    try:
-        json.loads(content)
-    except (ValueError, RecursionError):
-        return False
-    return True
-
-
 # --------------------------------------------------------------------------- Python
 
-_PY_TOKEN = re.compile(
-    r"(?:[rRbBuUfFtT]{1,2})?(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')"
-    r"|#[^\n]*|\\\r?\n|\r?\n[ \t\f]*"
-    r"|(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:[1-9](?:_?\d)*|0(?:_?0)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.?)(?:[eE][+-]?\d(?:_?\d)*)?)[jJ]?(?![\w])"
-    r"|[^\W\d]\w*|\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\*\*|//|<<|>>|<=|>=|==|!=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|[^ \t\f\r]"
-)
 _PY = """
 Simple = Small (';' Small)* ';'?
-Small = 'pass' | 'break' | 'continue' | 'return' Stars? | 'raise' (Test ('from' Test)?)? | 'global' Names | 'nonlocal' Names | 'del' Targets | 'assert' Test (',' Test)? | 'import' Mods | 'from' ('.' | '...')* From
-  | Stars | (Targets '=')+ (Stars | Yield) | Target AugOp (Stars | Yield) | Target ':' Test ('=' (Stars | Yield))? | Yield | 'type' NAME <TypeParams>? '=' Test
+Small = 'pass' | 'break' | 'continue' | 'return' Stars? | 'raise' (Test ('from' Test)?)? | 'global' Names | 'nonlocal' Names | 'del' DelTargets | 'assert' Test (',' Test)? | 'import' Mods | 'from' ('.' | '...')* From
+  | Stars | (Targets '=')+ (Stars | Yield) | Single AugOp (Stars | Yield) | Single ':' Test ('=' (Stars | Yield))? | Yield | 'type' NAME <TypeParams>? '=' Test
 From = Dotted 'import' ('*' | <Froms> | FromOne (',' FromOne)*) | 'import' ('*' | <Froms> | FromOne (',' FromOne)*)
 FromOne = NAME ('as' NAME)?
 Names = NAME (',' NAME)*
 Mods = Dotted ('as' NAME)? (',' Dotted ('as' NAME)?)*
 Dotted = NAME ('.' NAME)*
 AugOp = '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '>>=' | '<<=' | '**='
+Single = NAME | Power '.' NAME | Power <Index> | <TargetOne>
+DelTargets = DelTarget (',' DelTarget)* ','?
+DelTarget = NAME | Power '.' NAME | Power <Index> | <DelP> | <DelL>
 Targets = '*'? Target (',' '*'? Target)* ','?
 Target = NAME | Power '.' NAME | Power <Index> | <TargetP> | <TargetL>
-TargetsX = Targets
+StarTarget = '*'? Target
 Stars = Star (',' Star)* ','?
-Star = '*' Or | Named
+Star = '*' Or | Test
+StarNamed = '*' Or | Named
 Named = NAME ':=' Test | Test
 Test = Or ('if' Or 'else' Test)? | 'lambda' LParams? ':' Test
 Or = Not (('and' | 'or') Not)*
@@ -518,40 +503,51 @@ Arith = Factor (('+' | '-' | '*' | '/' | '//' | '%' | '@' | '&' | '|' | '^' | '<
 Factor = ('+' | '-' | '~')* 'await'? Power
 Power = Atom Trail*
 Trail = '.' NAME | <Args> | <Index>
-Atom = NAME | NUM | STR STR* | 'None' | 'True' | 'False' | '...' | <Paren> | <List> | <Dict>
+Atom = NAME | NUM | Text Text* | BYTES BYTES* | 'None' | 'True' | 'False' | '...' | <Paren> | <List> | <Dict>
+Text = STR | FORMATTED <Field>*
+FieldOne = (Stars | Yield) '='? <Field>*
 Yield = 'yield' ('from' Test | Stars)?
-LParams = LParam (',' LParam)* ','?
-LParam = NAME ('=' Test)? | '*' NAME? | '**' NAME | '/'
-Param = NAME (':' Test)? ('=' Test)? | '*' (NAME (':' '*'? Test)?)? | '**' NAME (':' Test)? | '/'
-Arg = '*' Test | '**' Test | NAME '=' Test | Named Comp?
+LN = NAME (',' NAME)*
+LD = NAME '=' Test (',' NAME '=' Test)*
+LPos = LN | LN ',' '/' | LN ',' '/' ',' LN | LN ',' LD | LN ',' '/' ',' LD | LN ',' '/' ',' LN ',' LD | LN ',' LD ',' '/' | LN ',' LD ',' '/' ',' LD | LD | LD ',' '/' | LD ',' '/' ',' LD
+LK = NAME ('=' Test)?
+LTail = '*' NAME (',' LK)* (',' '**' NAME)? | '*' (',' LK)+ (',' '**' NAME)? | '**' NAME
+LParams = LPos (',' LTail)? ','? | LTail ','?
+ParamN = NAME (':' Test)?
+ParamD = NAME (':' Test)? '=' Test
+ParamA = '*' NAME (':' '*'? Test)?
+ParamK = '**' NAME (':' Test)?
+ArgS = '*' Test
+ArgK = '**' Test
+ArgD = NAME '=' Test
+ArgG = Named Comp
 Comp = ('async'? 'for' Targets 'in' Or ('if' OrLambda)*)+
-OrLambda = Or | NAME ':=' Test
+OrLambda = Or | NAME ':=' Test | 'lambda' LParams? ':' Or
 Gen = Named Comp
-DictOne = Test ':' Test Comp? | '**' Or
-SetOne = Star Comp?
-ListOne = Star Comp?
-IndexOne = Slice
+DictOne = Test ':' Test | '**' Or
+DictComp = Test ':' Test Comp
 Slice = Named | '*' Or | Test? ':' Test? (':' Test?)?
-TypeParam = ('*' | '**')? NAME (':' Test)? ('=' Test)?
+TypeParam = ('*' | '**')? NAME (':' Test)? ('=' '*'? Test)?
 IfH = 'if' Named ':'
 ElifH = 'elif' Named ':'
 ElseH = 'else' ':'
 ForH = 'async'? 'for' Targets 'in' Stars ':'
 WhileH = 'while' Named ':'
 TryH = 'try' ':'
-ExceptH = 'except' '*'? (Test (',' Test)* ('as' NAME)?)? ':'
+ExceptH = 'except' ('*'? Test ('as' NAME)?)? ':'
 FinallyH = 'finally' ':'
 WithH = 'async'? 'with' (WithOne (',' WithOne)* | <Withs>) ':'
 WithOne = Test ('as' Target)?
 DefH = 'async'? 'def' NAME <TypeParams>? <Params> ('->' Test)? ':'
 ClassH = 'class' NAME <TypeParams>? <Args>? ':'
-MatchH = 'match' Stars ':'
+MatchH = 'match' StarNamed (',' StarNamed)* ','? ':'
 CaseH = 'case' Pattern (',' Pattern)* ','? ('if' Named)? ':'
-Pattern = '*'? PatOr ('as' NAME)?
+Pattern = '*' NAME | PatOr ('as' NAME)?
 PatOr = PatOne ('|' PatOne)*
-PatOne = '-'? NUM (('+' | '-') NUM)? | STR STR* | 'None' | 'True' | 'False' | NAME ('.' NAME)* <PatArgs>? | <PatArgs> | <PatList> | <PatMap>
-PatArg = (NAME '=')? Pattern
-PatItem = (PatOne ':' Pattern | '**' NAME)
+PatOne = '-'? NUM (('+' | '-') NUM)? | Text Text* | BYTES BYTES* | 'None' | 'True' | 'False' | NAME ('.' NAME)* <PatArgs>? | <PatParen> | <PatList> | <PatMap>
+PatNamed = NAME '=' PatOr ('as' NAME)?
+PatItem = ('-'? NUM (('+' | '-') NUM)? | Text Text* | BYTES BYTES* | 'None' | 'True' | 'False' | NAME '.' NAME ('.' NAME)*) ':' PatOr ('as' NAME)?
+PatRest = '**' NAME
 Decorator = '@' Named
 """
 _PY_SUITE = """
@@ -560,8 +556,8 @@ Stmt = 's' | 'i' 'e'* 'l'? | 'f' 'l'? | 'w' 'l'? | 't' ('x' 'x'* 'l'? 'y'? | 'y'
 Cases = 'k' 'k'*
 """
 _PY_NAMES = "match case type"
-_INDENT = 0x20000
-_LINES = re.compile(f"([{chr(_INDENT)}-{chr(_INDENT + 0xFFFF)}])")
+_INDENT = 0x100000
+_LINES = re.compile(f"([{chr(_INDENT)}-{chr(_INDENT + 0xFFFD)}])")
 # The rule of each first word of a compound statement, and its character in a suite.
 _PY_HEADS = {
     "if": ("IfH", "i"), "elif": ("ElifH", "e"), "else": ("ElseH", "l"), "for": ("ForH", "f"), "while": ("WhileH", "w"), "try": ("TryH", "t"), "except": ("ExceptH", "x"), "finally": ("FinallyH", "y"),
@@ -569,63 +565,137 @@ _PY_HEADS = {
 }
 
 
+class _TooManyIndents(Exception):
+    pass
+
+
+#: The order of arguments, and of parameters with the slash left out, by their letters.
+_ARGS = re.compile("g|[ps]*[ds]*[dk]*")
+_PARAMS = re.compile("n*d*(?:a[nd]*|\\*[nd]+)?k?")
+#: Escapes that stand for a character, and those that don't, in texts and in bytes.
+_ESCAPES = re.compile(r"(?:[^\\]|\\(?:[^xuUN]|x[\da-fA-F]{2}|u[\da-fA-F]{4}|U(?:000[\da-fA-F]|0010)[\da-fA-F]{4}|N\{[^{}]+\}))*+")
+_BYTE_ESCAPES = re.compile(r"(?:[^\\]|\\(?:[^x]|x[\da-fA-F]{2}))*+")
+
+
 class Python(Language):
     def __init__(self) -> None:
-        g = self.g = _grammar(_PY, {"NAME": "n", "NUM": "1", "STR": "s"}, _PY_NAMES)
+        g = self.g = _grammar(_PY, {"NAME": "n", "NUM": "1", "STR": "s", "BYTES": "b", "FORMATTED": "f"}, _PY_NAMES)
         self.suites = Grammar(_PY_SUITE, {}, {c: c for c in "sielfwtxyh@dcmk"})
         self.cut = re.compile(r"(?<=.)(?=[sifwth@dcm])(?<!@)")
         self.heads = {g.chars[w]: v for w, v in _PY_HEADS.items()}
-        self.asynchronous = g.chars["async"]
-        self.indents: dict[str, str] = {}
+        self.asynchronous, self.lambda_, self.for_, self.in_ = (g.chars[w] for w in ("async", "lambda", "for", "in"))
+        self.indents: dict[tuple[int, int], str] = {}
         self.columns: dict[str, tuple[int, int]] = {}
         base = _other("n", "1", "s")
 
         def kind(t: str) -> str:
             c = t[0]
-            if c == "#" or c == "\\" and len(t) > 1:
+            if c == "#" or (c == "\\" and len(t) > 1):
                 return ""
             if c in "\r\n":
                 return self._indent(t.lstrip("\r\n"))
             if t[-1] in "\"'":
-                return "s" if len(t) > 1 and not (len(t) in (2, 3) and t[-1] not in t[:-1]) else ERROR
-            return ERROR if c in "$?!`" else base(t) if c != "/" else ERROR
+                if len(t) < 2:
+                    return ERROR
+                prefix = t[: min(k for k in (t.find("'"), t.find('"')) if k >= 0)].lower()
+                if "b" in prefix:
+                    return "b" if t.isascii() and ("r" in prefix or "\\" not in t or _BYTE_ESCAPES.fullmatch(t)) else ERROR
+                return "s" if "r" in prefix or "\\" not in t or _ESCAPES.fullmatch(t) else ERROR
+            return ERROR if c in "$?!`/\0" else base(t)
 
-        self.kinds = Kinds({k: v for k, v in _fixed(g).items()}, kind)
+        self.kinds = Kinds(_fixed(g) | {FORMATTED: "f"}, kind)
+        accepts, comma = g.accepts, self._comma
 
         def every(rule: str, blank: bool = True) -> tuple[Callable[[Dialect, str], bool]]:
-            return (lambda d, s: (blank and s == "") or all(g.accepts(rule, p) for p in s.removesuffix(",").split(",")),)
+            return (lambda d, s: (blank and s == "") or all(accepts(rule, p) for p in comma(s)),)
+
+        def paren(d: Dialect, s: str) -> bool:
+            parts = comma(s)
+            if s and len(parts) == 1 and s[-1] != ",":
+                return accepts("Named", s) or accepts("Gen", s) or accepts("Yield", s)
+            return s == "" or all(accepts("StarNamed", p) for p in parts)
+
+        def either(one: str, many: str, extra: str = "") -> Callable[[Dialect, str], bool]:
+            """A comprehension, which stands alone, or elements."""
+            return lambda d, s: s == "" or all(accepts(many, p) for p in comma(s)) or accepts(one, s)
+
+        def args(d: Dialect, s: str) -> bool:
+            parts = comma(s) if s else []
+            letters = "".join("p" if accepts("Named", p) else "s" if accepts("ArgS", p) else "d" if accepts("ArgD", p) else "k" if accepts("ArgK", p) else "g" if accepts("ArgG", p) else "!" for p in parts)
+            return _ARGS.fullmatch(letters) is not None
+
+        def params(d: Dialect, s: str) -> bool:
+            parts = comma(s) if s else []
+            letters = "".join("/" if p == "/" else "*" if p == "*" else "n" if accepts("ParamN", p) else "d" if accepts("ParamD", p) else "a" if accepts("ParamA", p) else "k" if accepts("ParamK", p) else "!" for p in parts)
+            head, slash, tail = letters.partition("/")
+            return _PARAMS.fullmatch(head + tail) is not None and not (slash and re.fullmatch("[nd]+", head) is None)
 
-        def listed(rule: str) -> Callable[[Dialect, str], bool]:
-            """As every, where a lambda's or a generator's commas may keep the parts from being cut."""
-            return lambda d, s: s == "" or all(g.accepts(rule, p) for p in s.removesuffix(",").split(",")) or (s.count(",") < 100 and g.accepts(f"{rule}s", s.removesuffix(",")))
+        def targets(rule: str, one: str) -> Callable[[Dialect, str], bool]:
+            """In round brackets one target without a comma stands for itself."""
+            return lambda d, s: s == "" or (accepts(one, s) if len(comma(s)) == 1 and s[-1:] != "," else all(accepts(rule, p) for p in comma(s)))
+
+        def pattern(d: Dialect, s: str) -> bool:
+            return s == "" or (len(comma(s)) == 1 and s[-1] != "," and s[0] != "*" and accepts("Pattern", s)) or ((s[-1] == "," or len(comma(s)) > 1) and all(accepts("Pattern", p) for p in comma(s)))
+
+        def arguments(d: Dialect, s: str) -> bool:
+            letters = "".join("p" if p[:1] != "*" and accepts("Pattern", p) else "k" if accepts("PatNamed", p) else "!" for p in comma(s)) if s else ""
+            return re.fullmatch("p*k*", letters) is not None
+
+        def mapping(d: Dialect, s: str) -> bool:
+            parts = comma(s) if s else []
+            return all(accepts("PatItem", p) for p in parts[:-1]) and (not parts or accepts("PatItem", parts[-1]) or accepts("PatRest", parts[-1]))
 
-        for rule in ("Arg", "DictOne", "ListOne", "SetOne", "IndexOne"):
-            g.rules[f"{rule}s"] = []
-        more = _grammar(_PY + "".join(f"\n{r}s = {r} (',' {r})*" for r in ("Arg", "DictOne", "ListOne", "SetOne", "IndexOne")), {"NAME": "n", "NUM": "1", "STR": "s"}, _PY_NAMES)
-        g = self.g = more
-        # arguments that unpack or are named may stand anywhere; a generator must stand alone or in brackets
         roles = {
             "(": {
-                "Paren": (lambda d, s: s == "" or g.accepts("Gen", s) or g.accepts("Yield", s) or all(g.accepts("Star", p) for p in s.removesuffix(",").split(",")) or (s.count(",") < 100 and g.accepts("Stars", s)),),
-                "Args": (listed("Arg"),), "Params": every("Param"), "TargetP": ("TargetsX",), "Froms": every("FromOne", False), "Withs": every("WithOne", False), "PatArgs": every("PatArg"),
+                "Paren": (paren,), "Args": (args,), "Params": (params,), "TargetP": (targets("StarTarget", "Target"),), "TargetOne": (lambda d, s: accepts("Single", s),), "DelP": (lambda d, s: s == "" or accepts("DelTargets", s),),
+                "Froms": every("FromOne", False), "Withs": every("WithOne", False), "PatArgs": (arguments,), "PatParen": (pattern,),
+            },
+            "[": {
+                "List": (either("Gen", "StarNamed"),), "Index": (lambda d, s: s != "" and all(accepts("Slice", p) for p in comma(s)),), "TargetL": every("StarTarget"), "DelL": (lambda d, s: s == "" or accepts("DelTargets", s),),
+                "TypeParams": every("TypeParam", False), "PatList": every("Pattern"),
             },
-            "[": {"List": (listed("ListOne"),), "Index": (lambda d, s: s != "" and listed("IndexOne")(d, s),), "TargetL": (lambda d, s: s == "" or (s.count(",") < 100 and g.accepts("TargetsX", s)),), "TypeParams": every("TypeParam", False), "PatList": every("Pattern")},
-            "{": {"Dict": (lambda d, s: s == "" or listed("DictOne")(d, s) or listed("SetOne")(d, s),), "PatMap": every("PatItem")},
+            "{": {"Dict": (lambda d, s: s == "" or all(accepts("DictOne", p) for p in comma(s)) or accepts("DictComp", s) or all(accepts("StarNamed", p) for p in comma(s)) or accepts("Gen", s),), "PatMap": (mapping,)},
+            SUB: {"Field": ("FieldOne",)},
         }
         self.dialect = Dialect("python", g, roles, lambda s: _LINES.sub("", s))
 
+    def _comma(self, text: str) -> list[str]:
+        """The parts between commas, without those of a lambda's parameters and of the targets of a comprehension."""
+        parts = text.removesuffix(",").split(",")
+        if self.lambda_ not in text and self.for_ not in text:
+            return parts
+        out, start, lambdas, targets = [], 0, 0, False
+        end = len(text) - text.endswith(",")
+        for i in range(end):
+            c = text[i]
+            if c == self.lambda_:
+                lambdas += 1
+            elif c == ":" and lambdas:
+                lambdas -= 1
+            elif c == self.for_:
+                targets = True
+            elif c == self.in_:
+                targets = False
+            elif c == "," and not lambdas and not targets:
+                out.append(text[start:i])
+                start = i + 1
+        return [*out, text[start:end]]
+
     def _indent(self, blanks: str) -> str:
-        char = self.indents.get(blanks)
+        """The character of a line's indent, by its columns with tabs of eight and of one; of very many in a worker the first are forgotten between files."""
+        wide = narrow = 0
+        for c in blanks:
+            if c == "\t":
+                wide, narrow = wide // 8 * 8 + 8, narrow + 1
+            elif c == "\f":
+                wide = narrow = 0
+            else:
+                wide, narrow = wide + 1, narrow + 1
+        char = self.indents.get((wide, narrow))
         if char is None:
-            char = self.indents[blanks] = chr(_INDENT + len(self.indents) % 0xFFFF)
-            wide = narrow = 0
-            for c in blanks:
-                if c == "\t":
-                    wide, narrow = wide // 8 * 8 + 8, narrow + 1
-                elif c == "\f":
-                    wide = narrow = 0
-                else:
-                    wide, narrow = wide + 1, narrow + 1
+            if len(self.indents) > 0xFFFC:
+                raise _TooManyIndents
+            char = self.indents[wide, narrow] = chr(_INDENT + len(self.indents))
             self.columns[char] = (wide, narrow)
         return char
 
@@ -643,11 +713,15 @@ class Python(Language):
     def accepts(self, content: str, deepest: int | None = DEEPEST) -> bool:
         if "\0" in content:
             return False
-        tokens = _PY_TOKEN.findall("\n" + content.removeprefix("﻿"))
-        shape = "".join(map(self.kinds.__getitem__, tokens))
+        tokens = lexing.python_tokens("\n" + content.removeprefix("\ufeff"))
+        try:
+            shape = "".join(map(self.kinds.__getitem__, tokens))
+        except _TooManyIndents:  # the characters of indents begin anew
+            self.__init__()  # type: ignore[misc]
+            shape = "".join(map(self.kinds.__getitem__, tokens))
         if ERROR in shape:
             return False
-        reduced = self.dialect.reduce(shape)
+        reduced = self.dialect.reduce(shape, deepest)
         if reduced is None:
             return False
         g, suites = self.g, self.suites
