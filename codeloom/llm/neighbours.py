@@ -1,18 +1,23 @@
 """Problem 5: the k most similar vectors of every vector, by a hierarchical k-means tree.
 
-The upper tree is fitted on a bounded sample. Its leaves are gathered in blocks of some thousand
-vectors, to which all vectors are sent. A query visits the leaves in order of their similarity, best
-bin first, as far as a gap that is calibrated on queries answered by brute force over all vectors,
-and with them their blocks. Within a block a tree of the block's own vectors goes on: leaves are
-again visited best bin first, in rounds that widen until the block's own calibration queries,
-answered by brute force, reach the wanted recall. Equal vectors are searched once, and their groups
-put in afterwards, so that no group of copies meets in one task.
+The upper part of the tree is fitted on a bounded sample and sent to all tasks. Its leaves are
+gathered in blocks of some thousand vectors. A block that turns out to hold more gets a tree of its
+own, fitted on a bounded sample of its vectors, in as many levels as the number of vectors needs. A
+query walks the tree best bin first: the nodes it may go on to wait in a heap, and the most similar
+one is taken next, until as many leaves are reached as queries answered by brute force over all
+vectors have shown to be enough. Within a block a tree of all of its vectors is walked in the same
+way, in rounds of one leaf, until the block's own queries, answered by brute force, reach the wanted
+recall. Blocks that very many queries visit are searched in several tasks. Equal vectors are searched
+once, and their groups put in afterwards, so that no group of copies meets in one task.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +27,18 @@ from pyspark.sql.window import Window
 
 from codeloom.llm.base import written
 
-#: Vectors of the sample on which the upper tree and its gap are fitted.
-SAMPLE = 32_768
-#: Queries whose true neighbours calibrate the visits to blocks.
+#: Vectors of the sample on which the upper tree is fitted, and of those for the trees of blocks that hold too many.
+SAMPLE, SAMPLE_BELOW = 32_768, 8_192
+#: Queries whose true neighbours calibrate the number of leaves to visit.
 QUERIES = 512
-#: Vectors that a block should hold.
+#: Vectors that a block should hold; one of thrice as many is parted again.
 BLOCK = 8_192
-#: Vectors of the sample that a leaf of the upper tree should hold at least.
+#: Vectors of the sample that a leaf of a fitted tree should hold at least.
 TWIG = 24
 #: Vectors that a leaf within a block should hold.
 LEAF = 128
+#: Children of a node.
+BRANCHES = 8
 
 
 def usable(embedding: Column, width: int) -> Column:
@@ -67,70 +74,94 @@ def top(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return np.take_along_axis(sims, at, 1), np.take_along_axis(ids, at, 1)
 
 
-class UpperTree:
-    """Leaves that part the sample, and the blocks they are gathered in."""
-
-    def __init__(self, sample: np.ndarray, total: int):
-        share = total / max(1, len(sample))
-        todo = [(-len(sample) * share, 0, np.arange(len(sample)), -1)]
-        leaves: list[np.ndarray] = []
-        self.blocks: list[int] = []
-        n = blocks = 0
-        while todo:  # the largest node is split first
-            size, _, rows, block = heapq.heappop(todo)
-            if block < 0 and -size <= BLOCK:
-                block, blocks = blocks, blocks + 1
-            if len(rows) < 2 * TWIG or (-size <= TWIG * 8 and block >= 0):
-                if block < 0:
-                    block, blocks = blocks, blocks + 1
-                leaves.append(rows)
-                self.blocks.append(block)
+class Tree:
+    """A k-means tree over some vectors, each of which stands for share others.
+
+    The children of a node are numbered one after another. Leaves hold at most small vectors, or are
+    too few to be parted further; the leaves below a node of at most block vectors share a block.
+    """
+
+    def __init__(self, x: np.ndarray, share: float, small: int, least: int, block: int):
+        first, count, of_block, rows = [0], [0], [-1], [np.arange(len(x))]
+        blocks = at = 0
+        while at < len(rows):
+            mine = rows[at]
+            size = len(mine) * share
+            if of_block[at] < 0 and size <= block:
+                of_block[at], blocks = blocks, blocks + 1
+            if size > small and len(mine) >= 2 * least:
+                _, to = kmeans(x[mine], BRANCHES, seed=at)
+                parts = [p for p in (mine[to == j] for j in range(to.max() + 1)) if len(p)]
+                if len(parts) > 1:
+                    first[at], count[at] = len(rows), len(parts)
+                    for p in parts:
+                        first.append(0)
+                        count.append(0)
+                        of_block.append(of_block[at])
+                        rows.append(p)
+            if not count[at] and of_block[at] < 0:
+                of_block[at], blocks = blocks, blocks + 1
+            at += 1
+        means = np.stack([x[r].mean(axis=0) if len(r) else np.zeros(x.shape[1]) for r in rows])
+        self.centres = (means / np.maximum(1e-9, np.linalg.norm(means, axis=1, keepdims=True))).astype(np.float32)
+        self.first, self.count, self.block, self.blocks = first, count, of_block, blocks
+        self.leaves = {i: r for i, r in enumerate(rows) if not count[i]}
+
+    def walk(self, sims: np.ndarray) -> Iterator[int]:
+        """The leaves, best bin first, for a query of these similarities to the nodes' centres."""
+        heap = [(0.0, 0)]
+        first, count = self.first, self.count
+        while heap:
+            _, node = heapq.heappop(heap)
+            if not count[node]:
+                yield node
                 continue
-            _, of = kmeans(sample[rows], 8, seed=n)
-            parts = [p for p in (rows[of == j] for j in range(of.max() + 1)) if len(p)]
-            for part in parts if len(parts) > 1 else np.array_split(rows, 2):
-                n += 1
-                heapq.heappush(todo, (-len(part) * share, n, part, block))
-        self.centres = np.stack([c / max(1e-9, np.linalg.norm(c)) for c in (sample[r].mean(axis=0) for r in leaves)]).astype(np.float32)
-        self.blocks = np.array(self.blocks)  # type: ignore[assignment]
-        of = (sample @ self.centres.T).argmax(axis=1)
-        counts = np.bincount(np.asarray(self.blocks)[of], minlength=blocks)
-        #: Blocks that the sample cannot part further are dealt out.
-        self.parts = np.maximum(1, np.ceil(counts * share / (3 * BLOCK))).astype(np.int64)
-
-    def reach(self, q: np.ndarray) -> np.ndarray:
-        """How far below its best leaf each query must go for a leaf of each block."""
-        to = q @ self.centres.T
-        best = np.full((len(q), len(self.parts)), -9, np.float32)
-        for leaf, block in enumerate(self.blocks):
-            np.maximum(best[:, block], to[:, leaf], out=best[:, block])
-        return to.max(axis=1, keepdims=True) - best
-
-
-def calibrate(vectors: DataFrame, tree: UpperTree, q: np.ndarray, k: int, recall: float) -> float:
-    """The gap within which the wanted share of the true neighbours of some queries lies, found by brute force over all vectors."""
-    if len(tree.parts) == 1:
-        return 0.0
-    shared = vectors.sparkSession.sparkContext.broadcast((q, tree.reach(q), tree.centres, tree.blocks))
+            at = first[node]
+            for s in (-sims[at : at + count[node]]).tolist():
+                heapq.heappush(heap, (s, at))
+                at += 1
+
+    def visited(self, q: np.ndarray, leaves: int) -> list[list[int]]:
+        """The blocks of the first leaves that each query reaches, its own first."""
+        out, block = [], self.block
+        for k in range(0, len(q), 4096):
+            for sims in q[k : k + 4096] @ self.centres.T:
+                out.append(list(dict.fromkeys(block[leaf] for leaf in islice(self.walk(sims), leaves))))
+        return out
+
+    def needed(self, q: np.ndarray, home: list[int]) -> list[int]:
+        """How many leaves each query must reach for one of the given block."""
+        return [next(n for n, leaf in enumerate(self.walk(sims), 1) if self.block[leaf] == b) for sims, b in zip(q @ self.centres.T, home, strict=True)]
+
+
+def truth(vectors: DataFrame, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Some queries, repeated, and their k true neighbours, found by brute force over all vectors."""
+    shared = vectors.sparkSession.sparkContext.broadcast(q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, reach, centres, blocks = shared.value
+        q = shared.value
         best = np.full((len(q), k + 1), -9, np.float32)
-        need = np.zeros((len(q), k + 1), np.float32)
+        near = np.zeros((len(q), k + 1, q.shape[1]), np.float32)
         for b in batches:
             x = unit(np.asarray(b.column(0).flatten(), np.float32).reshape(-1, q.shape[1]))
-            home = blocks[(x @ centres.T).argmax(axis=1)]
             sims, at = top(q @ x.T, np.broadcast_to(np.arange(len(x)), (len(q), len(x))), k + 1)
-            far = np.take_along_axis(reach, home[at], 1)
-            best, need = top(np.concatenate([best, sims], axis=1), np.concatenate([need, far], axis=1), k + 1)
+            both, vectors = np.concatenate([best, sims], axis=1), np.concatenate([near, x[at]], axis=1)
+            best, kept = top(both, np.broadcast_to(np.arange(both.shape[1]), both.shape), k + 1)
+            near = np.take_along_axis(vectors, kept[:, :, None], 1)
         n = np.repeat(np.arange(len(q)), best.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(best.ravel(), pa.float32()), pa.array(need.ravel(), pa.float32())], ["q", "sim", "need"])
+        there = best.ravel() > -2
+        yield pa.RecordBatch.from_arrays([pa.array(n[there], pa.int32()), pa.array(best.ravel()[there], pa.float32()), pa.array([v.tobytes() for v in near.reshape(-1, q.shape[1])[there]], pa.binary())], ["q", "sim", "near"])
 
-    found = vectors.select("embedding").mapInArrow(run, "q int, sim float, need float")
+    found = vectors.select("embedding").mapInArrow(run, "q int, sim float, near binary")
     order = Window.partitionBy("q").orderBy(F.desc("sim"))
-    nearest = found.withColumn("n", F.row_number().over(order)).where((F.col("n") > 1) & (F.col("n") <= k + 1) & (F.col("sim") > -2)).select("need").toArrow()  # the first is the query
-    needed = np.sort(np.asarray(nearest.column(0)))
-    return float(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1e-6 if len(needed) else 0.0
+    nearest = found.withColumn("n", F.row_number().over(order)).where((F.col("n") > 1) & (F.col("n") <= k + 1)).select("q", "near").toArrow()  # the first is the query
+    near = np.frombuffer(b"".join(nearest.column("near").to_pylist()), np.float32).reshape(-1, q.shape[1])
+    return q[np.asarray(nearest.column("q"), np.int64)], near
+
+
+def enough(needed: list[int], recall: float) -> int:
+    """The number of leaves that is enough for the wanted share of neighbours."""
+    return sorted(needed)[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] if needed else 1
 
 
 def search_block(x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
@@ -145,20 +176,19 @@ def search_block(x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, recall:
 
     if n <= 4 * LEAF:
         return brute(np.arange(len(q)))
-    centres, of = kmeans(x, n // LEAF)
-    leaves = [np.flatnonzero(of == j) for j in range(len(centres))]
-    order = np.argsort(-(q @ centres.T), axis=1)  # each query's queue of leaves
+    tree = Tree(x, 1, LEAF, LEAF // 2, n)
+    walks = [tree.walk(sims) for sims in q @ tree.centres.T]
     probe = np.random.default_rng(2).choice(len(q), min(96, len(q)), replace=False)
     wanted = np.sort(brute(probe)[0], axis=1)
     best = np.full((len(q), k), -9, np.float32)
     ids = np.full((len(q), k), -1, np.int64)
-    for r in range(len(centres)):
-        leaf = order[:, r]
+    for _ in range(len(tree.leaves)):
+        leaf = np.fromiter((next(w) for w in walks), np.int64, len(q))
         by = np.argsort(leaf, kind="stable")
-        bounds = np.searchsorted(leaf[by], np.arange(len(centres) + 1))
-        for j, members in enumerate(leaves):
+        bounds = np.searchsorted(leaf[by], np.arange(len(tree.centres) + 1))
+        for j, members in tree.leaves.items():
             rows = by[bounds[j] : bounds[j + 1]]
-            if len(rows) and len(members):
+            if len(rows):
                 sims = q[rows] @ x[members].T
                 sims[own[rows][:, None] == members[None, :]] = -9
                 s, i = top(sims, np.broadcast_to(members, sims.shape), k)
@@ -169,6 +199,83 @@ def search_block(x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, recall:
     return best, ids
 
 
+def _vectors(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, width)
+
+
+ROUTED = "block string, id string, multi boolean, own boolean, alone boolean, vector binary"
+
+
+def _spread(tree: Tree, x: np.ndarray, ids: pa.Array, multi: pa.Array, own: np.ndarray, alone: np.ndarray, leaves: int, prefix: str, parts: int = 1) -> pa.RecordBatch:
+    """The rows of ROUTED of some queries: one for each block they visit, their own with own set.
+
+    parts: into how many blocks vectors are dealt that the tree cannot tell apart, each of which all queries visit.
+    """
+    if parts > 1:
+        of = [zlib.crc32(i.encode()) % parts for i in ids.to_pylist()]
+        visited = [[f"={(o + j) % parts}" for j in range(parts)] for o in of]
+    else:
+        visited = tree.visited(x, leaves)
+    n = np.array([len(v) for v in visited], np.int64)
+    at = np.repeat(np.arange(len(x)), n)
+    first = np.concatenate([[0], np.cumsum(n)[:-1]])
+    mine = np.zeros(len(at), bool)
+    mine[first[own]] = True
+    data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+    take = pa.array(at)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([f"{prefix}{b}" for v in visited for b in v], pa.string()), ids.take(take), multi.take(take), pa.array(mine), pa.array((alone & (n == 1))[at]), data.take(take)], ["block", "id", "multi", "own", "alone", "vector"]
+    )
+
+
+def part_again(routed: DataFrame, q: np.ndarray, near: np.ndarray, home: list[str], width: int, recall: float) -> tuple[DataFrame, list[str], bool]:
+    """routed with the blocks of too many vectors parted by trees of their own, the new home of each neighbour, and whether any was."""
+    spark = routed.sparkSession
+    counts = routed.where("own").groupBy("block").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 3 * BLOCK) & ~F.contains("block", F.lit("=")))
+    if counts.isEmpty():
+        return routed, home, False
+    large = written(counts)
+    below, twig, block = SAMPLE_BELOW, TWIG, BLOCK
+
+    def fit(key: tuple, t: pa.Table) -> pa.Table:
+        x, n = _vectors(t.column("vector"), width), t.column("n")[0].as_py()
+        tree = Tree(x, n / len(x), twig * 8, twig, block)
+        return pa.table({"block": [key[0].as_py()], "tree": pa.array([pickle.dumps((tree, 1 if tree.blocks > 1 else -(-n // block)))], pa.binary())})
+
+    some = routed.where("own").join(large, "block").where(F.pmod(F.xxhash64("id", F.lit(3)), F.col("n")) < below)
+    trees = written(some.select("block", "n", "vector").groupBy("block").applyInArrow(fit, "block string, tree binary"))
+    pairs = spark.createDataFrame(pa.table({"pair": pa.array(range(len(home)), pa.int32()), "block": pa.array(home, pa.string()), "q": pa.array([v.tobytes() for v in q], pa.binary()), "near": pa.array([v.tobytes() for v in near], pa.binary())}))
+
+    def need(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"pair": [], "home": [], "needed": []}
+        if len(right) and len(left):
+            tree, _ = pickle.loads(right.column("tree")[0].as_py())
+            to = [v[0] for v in tree.visited(_vectors(left.column("near"), width), 1)]
+            out = {"pair": left.column("pair").to_pylist(), "home": [f"{b}/{j}" for b, j in zip(left.column("block").to_pylist(), to, strict=True)], "needed": tree.needed(_vectors(left.column("q"), width), to)}
+        return pa.table({"pair": pa.array(out["pair"], pa.int32()), "home": pa.array(out["home"], pa.string()), "needed": pa.array(out["needed"], pa.int32())})
+
+    asked = pairs.groupBy("block").cogroup(trees.groupBy("block")).applyInArrow(need, "pair int, home string, needed int").toArrow().to_pylist()
+    leaves = enough([r["needed"] for r in asked], recall)
+    home = list(home)
+    for r in asked:
+        home[r["pair"]] = r["home"]
+
+    def route(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.Table.from_batches([], pa.schema([("block", pa.string()), ("id", pa.string()), ("multi", pa.bool_()), ("own", pa.bool_()), ("alone", pa.bool_()), ("vector", pa.binary())]))
+        tree, parts = pickle.loads(right.column("tree")[0].as_py())
+        left = left.combine_chunks()
+        one = lambda c: left.column(c).combine_chunks()
+        return pa.Table.from_batches([_spread(tree, _vectors(left.column("vector"), width), one("id"), one("multi"), np.asarray(left.column("own"), bool), np.asarray(left.column("alone"), bool), leaves, f"{left.column('block')[0].as_py()}/", parts)])
+
+    # a block's rows are dealt out to slices of bounded size, each of which gets the block's tree
+    members = routed.groupBy("block").agg(F.count(F.lit(1)).alias("rows")).join(large.select("block"), "block").select("block", F.ceil(F.col("rows") / (4 * BLOCK)).cast("int").alias("slices"))
+    sliced = routed.join(members, "block").withColumn("slice", F.pmod(F.xxhash64("id", F.lit(5)), F.col("slices")).cast("int"))
+    each = written(trees.join(members, "block")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    parted = sliced.groupBy("block", "slice").cogroup(each.groupBy("block", "slice")).applyInArrow(route, ROUTED)
+    return written(routed.join(large.select("block"), "block", "left_anti").select(parted.columns).unionByName(parted)), home, True
+
+
 NEIGHBOURS = "id string, alone boolean, multi boolean, near array<struct<sim: float, id: string, multi: boolean>>"
 
 
@@ -190,39 +297,27 @@ def nearest(df: DataFrame, k: int = 5, width: int = 64, recall: float = 0.985) -
     part = min(1_000_000, int(1_000_000 * SAMPLE / max(1, total)) + 1)
     sampled = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < part).select("embedding").limit(SAMPLE).toArrow()
     sample = unit(np.asarray(sampled.column(0).combine_chunks().flatten(), np.float32).reshape(-1, width))
-    tree = UpperTree(sample, total)
-    gap = calibrate(vectors, tree, sample[:QUERIES], k, recall)
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((tree.centres, tree.blocks, tree.parts, gap))
+    tree = Tree(sample, total / len(sample), TWIG * 8, TWIG, BLOCK)
+    q, near = truth(vectors, sample[:QUERIES], k)
+    to = [v[0] for v in tree.visited(near, 1)]
+    leaves = enough(tree.needed(q, to), recall)
+    shared = df.sparkSession.sparkContext.broadcast((tree, leaves))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, blocks, parts, gap = shared.value
-        first = np.concatenate([[0], np.cumsum(parts)])
+        tree, leaves = shared.value
         for b in batches:
             x = unit(np.asarray(b.column(2).flatten(), np.float32).reshape(-1, width))
-            sims = x @ centres.T
-            home = blocks[sims.argmax(axis=1)]
-            at, to = np.nonzero(sims >= sims.max(axis=1, keepdims=True) - gap)
-            at, to = np.divmod(np.unique(at * len(parts) + blocks[to]), len(parts))
-            spread = np.repeat(np.arange(len(at)), parts[to])  # every part of a block is visited
-            nth = np.arange(len(spread)) - np.repeat(np.cumsum(parts[to]) - parts[to], parts[to])
-            at, to = at[spread], to[spread]
-            hashed = np.asarray(b.column(3), np.int64)
-            own = (to == home[at]) & (nth == hashed[at] % parts[to])
-            alone = np.bincount(at, minlength=len(x)) == 1
-            data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * width), len(at), [None, pa.py_buffer(np.ascontiguousarray(x[at]))])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(first[to] + nth, pa.int32()), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(own), pa.array(alone[at]), data.cast(pa.binary())],
-                ["block", "id", "multi", "own", "alone", "vector"],
-            )
+            yield _spread(tree, x, b.column(0), b.column(1), np.ones(len(x), bool), np.ones(len(x), bool), leaves, "")
 
     def search(t: pa.Table) -> pa.Table:
-        q = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float32).reshape(-1, width)
-        mine = np.asarray(t.column("own"), bool)
-        own = np.where(mine, np.cumsum(mine) - 1, -1)
-        ids, multi = t.column("id").combine_chunks(), t.column("multi").combine_chunks()
-        if mine.any():
-            sims, near = search_block(q[mine], q, own, k, recall)
+        everyone = _vectors(t.column("vector"), width)
+        mine, asks = np.asarray(t.column("own"), bool), np.asarray(t.column("asks"), bool)
+        own = np.where(mine, np.cumsum(mine) - 1, -1)[asks]
+        q = everyone[asks]
+        ids, multi, alone = (t.column(c).combine_chunks() for c in ("id", "multi", "alone"))
+        asking = pa.array(np.flatnonzero(asks))
+        if mine.any() and len(q):
+            sims, near = search_block(everyone[mine], q, own, k, recall)
         else:
             sims, near = np.full((len(q), 1), -9, np.float32), np.zeros((len(q), 1), np.int64)
         order = np.argsort(-sims, axis=1, kind="stable")
@@ -231,10 +326,18 @@ def nearest(df: DataFrame, k: int = 5, width: int = 64, recall: float = 0.985) -
         rows = pa.array(np.flatnonzero(mine)[near[there]])
         offsets = pa.array(np.concatenate([[0], np.cumsum(there.sum(axis=1))]), pa.int32())
         entries = pa.StructArray.from_arrays([pa.array(sims[there].astype(np.float32)), ids.take(rows), multi.take(rows)], ["sim", "id", "multi"])
-        return pa.table({"id": ids, "alone": t.column("alone"), "multi": multi, "near": pa.ListArray.from_arrays(offsets, entries)})
-
-    routed = vectors.select("id", "multi", "embedding", F.abs(F.xxhash64("id") % 1_000_003).alias("r")).mapInArrow(route, "block int, id string, multi boolean, own boolean, alone boolean, vector binary")
-    part_lists = written(routed.groupBy("block").applyInArrow(search, NEIGHBOURS))
+        return pa.table({"id": ids.take(asking), "alone": alone.take(asking), "multi": multi.take(asking), "near": pa.ListArray.from_arrays(offsets, entries)})
+
+    routed = written(vectors.select("id", "multi", "embedding").mapInArrow(route, ROUTED))
+    home, again = [str(b) for b in to], True
+    while again:
+        routed, home, again = part_again(routed, q, near, home, width, recall)
+    # a block that many visit is searched in slices of its visitors, each with all vectors of the block
+    sizes = routed.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / (4 * BLOCK)).cast("int").alias("slices"))
+    dealt = routed.join(sizes, "block").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(5)), F.col("slices")).cast("int"))
+    dealt = dealt.withColumn("slice", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(F.array("mine"))))
+    dealt = dealt.select("block", "slice", "id", "multi", "own", "alone", "vector", (F.col("slice") == F.col("mine")).alias("asks"))
+    part_lists = written(dealt.groupBy("block", "slice").applyInArrow(search, NEIGHBOURS))
     order = lambda near: F.slice(F.array_sort(near, lambda a, b: F.when(a.sim > b.sim, -1).when(a.sim < b.sim, 1).when(a.id < b.id, -1).when(a.id > b.id, 1).otherwise(0)), 1, k)
     whole = part_lists.where("alone").select("id", "multi", order(F.col("near")).alias("near"))
     merged = part_lists.where("not alone").groupBy("id").agg(F.first("multi").alias("multi"), F.flatten(F.collect_list("near")).alias("near")).select("id", "multi", order(F.col("near")).alias("near"))

@@ -296,6 +296,30 @@ def test_nearest_against_brute_force(spark, monkeypatch):
     assert neighbours.nearest(df.limit(0), 5, 8).isEmpty()
 
 
+def test_levels_of_trees_against_brute_force(spark, monkeypatch):
+    """Blocks that a tree of few vectors leaves too large are parted again, twice here, and what cannot be told apart is dealt out."""
+    for name, value in (("BLOCK", 60), ("LEAF", 8), ("SAMPLE", 40), ("SAMPLE_BELOW", 60), ("TWIG", 4)):
+        monkeypatch.setattr(neighbours, name, value)
+    parted = []
+    again = neighbours.part_again
+    monkeypatch.setattr(neighbours, "part_again", lambda *a: parted.append(again(*a)) or parted[-1])
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(120, 8))
+    x = np.concatenate([c + 0.2 * rng.normal(size=(25, 8)) for c in centres]).astype(np.float32)
+    same = np.tile(np.arange(1.0, 9.0, dtype=np.float32), (400, 1)) * (1 + np.arange(400, dtype=np.float32)[:, None] / 64)  # one direction
+    x = np.concatenate([x, same])
+    df = spark.createDataFrame([(f"c{i:04d}", [float(a) for a in v]) for i, v in enumerate(x)], "chunk_id string, embedding array<float>")
+    out = {r["chunk_id"]: r["near"] for r in neighbours.nearest(df, 5, 8, 0.97).collect()}
+    assert len(out) == len(x) and all(len({n["id"] for n in near}) == 5 and c not in {n["id"] for n in near} for c, near in out.items())
+    assert len(parted) > 2 and any("=" in r["block"] for r in parted[-1][0].select("block").distinct().collect())
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = u @ u.T
+    np.fill_diagonal(sims, -9)
+    fifth = -np.sort(-sims, axis=1)[:, 4]
+    right = sum(n["sim"] >= fifth[i] - 1e-5 for i in range(len(x)) for n in out[f"c{i:04d}"])
+    assert right / (5 * len(x)) >= 0.93
+
+
 def test_groups_of_equal_vectors(spark):
     same = [(f"s{i}", [1.0, 0.0, 0.0]) for i in range(9)]
     df = spark.createDataFrame(same + [("far", [0.0, 1.0, 0.0]), ("mid", [1.0, 1.0, 0.0])], "chunk_id string, embedding array<float>")
