@@ -4,10 +4,9 @@ The upper part of the tree is fitted on a bounded sample and sent to all tasks.
 gathered in blocks of some thousand vectors. A block that turns out to hold more gets a tree of its
 own, fitted on a bounded sample of its vectors, in as many levels as the number of vectors needs. A
 query walks the tree best bin first: the nodes it may go on to wait in a heap, and the most similar
-one is taken next, until as many leaves are reached as queries answered by brute force over all
-vectors have shown to be enough. Within a block a tree of all of its vectors is walked in the same
-way, in rounds of one leaf, until the block's own queries, answered by brute force, reach the wanted
-recall. Blocks that very many queries visit are searched in several tasks. Equal vectors are searched
+one is taken next, until what is left is less similar by a gap that is widened until queries answered
+by brute force over all vectors find the wanted share of their neighbours. Within a block a tree of all
+of its vectors is walked in the same way, the gap being that of the block's own queries. Blocks that very many queries visit are searched in several tasks. Equal vectors are searched
 once, and their groups put in afterwards, so that no group of copies meets in one task.
 """
 
@@ -16,8 +15,8 @@ from __future__ import annotations
 import heapq
 import pickle
 import zlib
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from codeloom.llm.base import written
 
 #: Vectors of the sample on which the upper tree is fitted, and of those for the trees of blocks that hold too many.
 SAMPLE, SAMPLE_BELOW = 32_768, 8_192
-#: Queries whose true neighbours calibrate the number of leaves to visit.
+#: Queries whose true neighbours calibrate how far the walk goes.
 QUERIES = 512
 #: Vectors that a block should hold; one of thrice as many is parted again.
 BLOCK = 8_192
@@ -59,8 +58,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 0) -> tuple[np.nd
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
         of = (x @ centres.T).argmax(axis=1)
-        sums = np.zeros((len(centres), x.shape[1]), np.float64)
-        np.add.at(sums, of, x)
+        sums = (of[:, None] == np.arange(len(centres))).astype(np.float32).T @ x
         norms = np.linalg.norm(sums, axis=1)
         centres = (sums[norms > 1e-9] / norms[norms > 1e-9, None]).astype(np.float32)
     return centres, (x @ centres.T).argmax(axis=1)
@@ -104,34 +102,70 @@ class Tree:
             at += 1
         means = np.stack([x[r].mean(axis=0) if len(r) else np.zeros(x.shape[1]) for r in rows])
         self.centres = (means / np.maximum(1e-9, np.linalg.norm(means, axis=1, keepdims=True))).astype(np.float32)
+        #: how similar a node's own vectors are to its centre: by this, nodes of all levels can be compared
+        self.usual = np.array([(x[r] @ c).mean() if len(r) else 1 for r, c in zip(rows, self.centres, strict=True)], np.float32)
         self.first, self.count, self.block, self.blocks = first, count, of_block, blocks
         self.leaves = {i: r for i, r in enumerate(rows) if not count[i]}
 
-    def walk(self, sims: np.ndarray) -> Iterator[int]:
-        """The leaves, best bin first, for a query of these similarities to the nodes' centres."""
-        heap = [(0.0, 0)]
-        first, count = self.first, self.count
+    def walk(self, v: np.ndarray) -> Iterator[tuple[int, float]]:
+        """The leaves for a query, best bin first, each with the least similarity of a node taken so far.
+
+        Only the children of nodes that are taken are compared with the query.
+        """
+        heap = [(-9.0, 0)]
+        first, count, centres, usual = self.first, self.count, self.centres, self.usual
+        least = 9.0
         while heap:
-            _, node = heapq.heappop(heap)
-            if not count[node]:
-                yield node
+            s, node = heapq.heappop(heap)
+            if node:
+                least = min(least, -s)
+            at, n = first[node], count[node]
+            if not n:
+                yield node, least
                 continue
-            at = first[node]
-            for s in (-sims[at : at + count[node]]).tolist():
-                heapq.heappush(heap, (s, at))
+            for s in (centres[at : at + n].dot(v) - usual[at : at + n]).tolist():
+                heapq.heappush(heap, (-s, at))
                 at += 1
 
-    def visited(self, q: np.ndarray, leaves: int) -> list[list[int]]:
-        """The blocks of the first leaves that each query reaches, its own first."""
-        out, block = [], self.block
-        for k in range(0, len(q), 4096):
-            for sims in q[k : k + 4096] @ self.centres.T:
-                out.append(list(dict.fromkeys(block[leaf] for leaf in islice(self.walk(sims), leaves))))
+    def within(self, v: np.ndarray, gap: float) -> list[int]:
+        """The leaves that a query reaches before a node must be taken that is less similar than the first leaf's way by the gap."""
+        heap = [(-9.0, 0)]
+        first, count, centres, usual = self.first, self.count, self.centres, self.usual
+        out: list[int] = []
+        least, bound = 9.0, -9.0
+        while heap:
+            s, node = heapq.heappop(heap)
+            if -s < bound:
+                break
+            at, n = first[node], count[node]
+            if n:
+                if node and not out:
+                    least = min(least, -s)
+                for s in (centres[at : at + n].dot(v) - usual[at : at + n]).tolist():
+                    heapq.heappush(heap, (-s, at))
+                    at += 1
+            else:
+                if not out:
+                    bound = min(least, -s) - gap
+                out.append(node)
         return out
 
-    def needed(self, q: np.ndarray, home: list[int]) -> list[int]:
-        """How many leaves each query must reach for one of the given block."""
-        return [next(n for n, leaf in enumerate(self.walk(sims), 1) if self.block[leaf] == b) for sims, b in zip(q @ self.centres.T, home, strict=True)]
+    def visited(self, q: np.ndarray, gap: float) -> list[list[int]]:
+        """The blocks that each query reaches, its own first."""
+        block = self.block
+        return [list(dict.fromkeys([block[leaf] for leaf in self.within(v, gap)])) for v in q]
+
+    def needed(self, q: np.ndarray, homes: list[int], of: Callable[[int], int]) -> list[float]:
+        """The gap within which each query reaches the home that is given for it; of: the home that a leaf is."""
+        out = []
+        for v, home in zip(q, homes, strict=True):
+            walk = self.walk(v)
+            leaf, best = next(walk)
+            least = best
+            while of(leaf) != home:
+                leaf, least = next(walk)
+            out.append(best - least)
+        return out
 
 
 def truth(vectors: DataFrame, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,9 +193,9 @@ def truth(vectors: DataFrame, q: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return q[np.asarray(nearest.column("q"), np.int64)], near
 
 
-def enough(needed: list[int], recall: float) -> int:
-    """The number of leaves that is enough for the wanted share of neighbours."""
-    return sorted(needed)[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] if needed else 1
+def enough(needed: list[float], recall: float) -> float:
+    """The gap that is enough for the wanted share of neighbours."""
+    return sorted(needed)[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] + 1e-6 if needed else 0.0
 
 
 def search_block(x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
@@ -177,25 +211,28 @@ def search_block(x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, recall:
     if n <= 4 * LEAF:
         return brute(np.arange(len(q)))
     tree = Tree(x, 1, LEAF, LEAF // 2, n)
-    walks = [tree.walk(sims) for sims in q @ tree.centres.T]
-    probe = np.random.default_rng(2).choice(len(q), min(96, len(q)), replace=False)
-    wanted = np.sort(brute(probe)[0], axis=1)
+    leaf_of = np.empty(n, np.int64)
+    for leaf, members in tree.leaves.items():
+        leaf_of[members] = leaf
+    at_home = np.flatnonzero(own >= 0)
+    probe = np.random.default_rng(2).choice(at_home, min(256, len(at_home)), replace=False) if len(at_home) else np.arange(0)
+    true = brute(probe)[1]
+    gap = enough(tree.needed(np.repeat(q[probe], true.shape[1], axis=0), leaf_of[true].ravel().tolist(), lambda leaf: leaf), recall)
     best = np.full((len(q), k), -9, np.float32)
     ids = np.full((len(q), k), -1, np.int64)
-    for _ in range(len(tree.leaves)):
-        leaf = np.fromiter((next(w) for w in walks), np.int64, len(q))
+    for start in range(0, len(q), 8192):
+        reached = [tree.within(v, gap) for v in q[start : start + 8192]]
+        rows_of = np.repeat(np.arange(start, start + len(reached)), [len(r) for r in reached])
+        leaf = np.fromiter(chain.from_iterable(reached), np.int64, len(rows_of))
         by = np.argsort(leaf, kind="stable")
         bounds = np.searchsorted(leaf[by], np.arange(len(tree.centres) + 1))
         for j, members in tree.leaves.items():
-            rows = by[bounds[j] : bounds[j + 1]]
+            rows = rows_of[by[bounds[j] : bounds[j + 1]]]
             if len(rows):
                 sims = q[rows] @ x[members].T
                 sims[own[rows][:, None] == members[None, :]] = -9
                 s, i = top(sims, np.broadcast_to(members, sims.shape), k)
                 best[rows], ids[rows] = top(np.concatenate([best[rows], s], axis=1), np.concatenate([ids[rows], i], axis=1), k)
-        found = np.sort(best[probe], axis=1) >= wanted - 1e-6
-        if found.mean() >= recall:
-            break
     return best, ids
 
 
@@ -206,7 +243,7 @@ def _vectors(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
 ROUTED = "block string, id string, multi boolean, own boolean, alone boolean, vector binary"
 
 
-def _spread(tree: Tree, x: np.ndarray, ids: pa.Array, multi: pa.Array, own: np.ndarray, alone: np.ndarray, leaves: int, prefix: str, parts: int = 1) -> pa.RecordBatch:
+def _spread(tree: Tree, x: np.ndarray, ids: pa.Array, multi: pa.Array, own: np.ndarray, alone: np.ndarray, gap: float, prefix: str, parts: int = 1) -> pa.RecordBatch:
     """The rows of ROUTED of some queries: one for each block they visit, their own with own set.
 
     parts: into how many blocks vectors are dealt that the tree cannot tell apart, each of which all queries visit.
@@ -215,7 +252,7 @@ def _spread(tree: Tree, x: np.ndarray, ids: pa.Array, multi: pa.Array, own: np.n
         of = [zlib.crc32(i.encode()) % parts for i in ids.to_pylist()]
         visited = [[f"={(o + j) % parts}" for j in range(parts)] for o in of]
     else:
-        visited = tree.visited(x, leaves)
+        visited = tree.visited(x, gap)
     n = np.array([len(v) for v in visited], np.int64)
     at = np.repeat(np.arange(len(x)), n)
     first = np.concatenate([[0], np.cumsum(n)[:-1]])
@@ -240,6 +277,7 @@ def part_again(routed: DataFrame, q: np.ndarray, near: np.ndarray, home: list[st
     def fit(key: tuple, t: pa.Table) -> pa.Table:
         x, n = _vectors(t.column("vector"), width), t.column("n")[0].as_py()
         tree = Tree(x, n / len(x), twig * 8, twig, block)
+        tree.leaves = {}
         return pa.table({"block": [key[0].as_py()], "tree": pa.array([pickle.dumps((tree, 1 if tree.blocks > 1 else -(-n // block)))], pa.binary())})
 
     some = routed.where("own").join(large, "block").where(F.pmod(F.xxhash64("id", F.lit(3)), F.col("n")) < below)
@@ -250,12 +288,12 @@ def part_again(routed: DataFrame, q: np.ndarray, near: np.ndarray, home: list[st
         out: dict[str, list] = {"pair": [], "home": [], "needed": []}
         if len(right) and len(left):
             tree, _ = pickle.loads(right.column("tree")[0].as_py())
-            to = [v[0] for v in tree.visited(_vectors(left.column("near"), width), 1)]
-            out = {"pair": left.column("pair").to_pylist(), "home": [f"{b}/{j}" for b, j in zip(left.column("block").to_pylist(), to, strict=True)], "needed": tree.needed(_vectors(left.column("q"), width), to)}
-        return pa.table({"pair": pa.array(out["pair"], pa.int32()), "home": pa.array(out["home"], pa.string()), "needed": pa.array(out["needed"], pa.int32())})
+            to = [v[0] for v in tree.visited(_vectors(left.column("near"), width), 0.0)]
+            out = {"pair": left.column("pair").to_pylist(), "home": [f"{b}/{j}" for b, j in zip(left.column("block").to_pylist(), to, strict=True)], "needed": tree.needed(_vectors(left.column("q"), width), to, tree.block.__getitem__)}
+        return pa.table({"pair": pa.array(out["pair"], pa.int32()), "home": pa.array(out["home"], pa.string()), "needed": pa.array(out["needed"], pa.float64())})
 
-    asked = pairs.groupBy("block").cogroup(trees.groupBy("block")).applyInArrow(need, "pair int, home string, needed int").toArrow().to_pylist()
-    leaves = enough([r["needed"] for r in asked], recall)
+    asked = pairs.groupBy("block").cogroup(trees.groupBy("block")).applyInArrow(need, "pair int, home string, needed double").toArrow().to_pylist()
+    gap = enough([r["needed"] for r in asked], recall)
     home = list(home)
     for r in asked:
         home[r["pair"]] = r["home"]
@@ -266,7 +304,7 @@ def part_again(routed: DataFrame, q: np.ndarray, near: np.ndarray, home: list[st
         tree, parts = pickle.loads(right.column("tree")[0].as_py())
         left = left.combine_chunks()
         one = lambda c: left.column(c).combine_chunks()
-        return pa.Table.from_batches([_spread(tree, _vectors(left.column("vector"), width), one("id"), one("multi"), np.asarray(left.column("own"), bool), np.asarray(left.column("alone"), bool), leaves, f"{left.column('block')[0].as_py()}/", parts)])
+        return pa.Table.from_batches([_spread(tree, _vectors(left.column("vector"), width), one("id"), one("multi"), np.asarray(left.column("own"), bool), np.asarray(left.column("alone"), bool), gap, f"{left.column('block')[0].as_py()}/", parts)])
 
     # a block's rows are dealt out to slices of bounded size, each of which gets the block's tree
     members = routed.groupBy("block").agg(F.count(F.lit(1)).alias("rows")).join(large.select("block"), "block").select("block", F.ceil(F.col("rows") / (4 * BLOCK)).cast("int").alias("slices"))
@@ -279,7 +317,7 @@ def part_again(routed: DataFrame, q: np.ndarray, near: np.ndarray, home: list[st
 NEIGHBOURS = "id string, alone boolean, multi boolean, near array<struct<sim: float, id: string, multi: boolean>>"
 
 
-def nearest(df: DataFrame, k: int = 5, width: int = 64, recall: float = 0.985) -> DataFrame:
+def nearest(df: DataFrame, k: int = 5, width: int = 64, recall: float = 0.992) -> DataFrame:
     """chunk_id and near, an array of the k other chunk_ids most similar to it with sim, the cosine, in falling order.
 
     df has chunk_id and embedding, all copies of a chunk_id the same embedding; others are not read.
@@ -299,15 +337,16 @@ def nearest(df: DataFrame, k: int = 5, width: int = 64, recall: float = 0.985) -
     sample = unit(np.asarray(sampled.column(0).combine_chunks().flatten(), np.float32).reshape(-1, width))
     tree = Tree(sample, total / len(sample), TWIG * 8, TWIG, BLOCK)
     q, near = truth(vectors, sample[:QUERIES], k)
-    to = [v[0] for v in tree.visited(near, 1)]
-    leaves = enough(tree.needed(q, to), recall)
-    shared = df.sparkSession.sparkContext.broadcast((tree, leaves))
+    to = [v[0] for v in tree.visited(near, 0.0)]
+    gap = enough(tree.needed(q, to, tree.block.__getitem__), recall)
+    tree.leaves = {}  # the sample's rows, which are not needed any more
+    shared = df.sparkSession.sparkContext.broadcast((tree, gap))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, leaves = shared.value
+        tree, gap = shared.value
         for b in batches:
             x = unit(np.asarray(b.column(2).flatten(), np.float32).reshape(-1, width))
-            yield _spread(tree, x, b.column(0), b.column(1), np.ones(len(x), bool), np.ones(len(x), bool), leaves, "")
+            yield _spread(tree, x, b.column(0), b.column(1), np.ones(len(x), bool), np.ones(len(x), bool), gap, "")
 
     def search(t: pa.Table) -> pa.Table:
         everyone = _vectors(t.column("vector"), width)
