@@ -1,6 +1,6 @@
 """Problem 6: files that nobody on the team wrote by hand: generated, minified, vendored, or data.
 
-Repositories may declare such paths in attribute files, whose globs are resolved by directory and
+Repositories may declare such paths in attribute files, whose globs are resolved for each attribute by directory and
 line; a declaration decides. Elsewhere a file's own text gives evidence: a generator's mark in its
 leading comments, lines no hand would write, tables of data, lines of known third-party files. From
 files that are declared or have evidence, path patterns are mined (names of directories, parts of
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -31,41 +31,81 @@ _MARK = re.compile(
     r"|machine-(?:written|generated)|produced by [\w./-]*(?:gen|codegen|compiler|generator)\b|^\W*[\w./-]+\.(?:idl|proto|thrift|avsc|wsdl|xsd|g4|graphql)\b(?: [0-9a-f]{6,})?\s*$"
 )
 _RELEASE = re.compile(r"\d+\.\d+")
-_COMMENT = re.compile(r"\s*(?:$|//|/\*|\*|#|--|;|<!--|\"\"\"|''')")
+_LINE_COMMENT = re.compile(r"//|#|--|;|%|<\?(?:php|xml)\b")
+#: What opens a comment of several lines, with what closes it.
+_OPENING = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
+#: Lines of a file that no chunk holds are taken for blank as long as no more are missing in a row.
+GAP = 12
+#: Blanks in the sense of the JVM, for lines that are compared on either side.
+_BLANKS = dict.fromkeys(map(ord, " \t\n\x0b\f\r"))
 _BLOB = re.compile(r"[A-Za-z0-9+/=]{200,}|(?:-?(?:0[xX][\da-fA-F]+|\d[\d.eE+-]*)[ \t\r\n]*,[ \t\r\n]*){16,}")
 _SIMPLE = re.compile(r"[^\W\d]\w*|\d[\w.]*")
 
 
-def _features(text: str, path: str, first: int, known: set[int] | None) -> tuple:
-    """marked, licensed, chars, chars in long lines, chars of data, lines, lines of the commonest shape, telling lines, of these known ones."""
-    lines = text.replace("\r\n", "\n").split("\n")
-    marked = licensed = False
-    if first <= 12:
-        for line in lines[:14]:
-            if not _COMMENT.match(line):
+def leading(lines: Iterable[str], inside: str = "") -> Iterator[str | None]:
+    """The lines of the comments that lines begin with, up to the first line of code; then None, if the comments end before the lines do.
+
+    inside: what closes the comment in which the lines begin.
+    """
+    for line in lines:
+        rest, comment = line.strip(), False
+        while rest:
+            if inside:
+                comment = True
+                _, closed, rest = rest.partition(inside)
+                rest = rest.strip()
+                inside = "" if closed else inside
+                if not closed:
+                    break
+            elif opening := next((o for o in _OPENING if rest.startswith(o)), None):
+                inside, rest, comment = _OPENING[opening], rest[len(opening) :], True
+                if not rest:
+                    break
+            elif _LINE_COMMENT.match(rest):
+                comment = True
                 break
-            marked = marked or bool(_MARK.search(line))
-            # a header that names a release of something the path is named after
-            if not licensed and _RELEASE.search(line):
-                parts = re.split(r"[/_.]", path.lower())
-                licensed = any(w in parts for w in re.findall(r"[a-z]\w{2,}(?:-[a-z]\w*)*", line.lower()))
+            else:
+                if comment:
+                    yield line[: line.rfind(rest)]
+                yield None
+                return
+        yield line
+
+
+def header(lines: Iterable[str], path: str) -> tuple[bool, bool, bool]:
+    """Whether the comments that lines begin with have a generator's mark, name a release of what the path is named after, and go on to the end."""
+    marked = licensed = False
+    parts = re.split(r"[/_.]", path.lower())
+    for line in leading(lines):
+        if line is None:
+            return marked, licensed, False
+        marked = marked or bool(_MARK.search(line))
+        if not licensed and _RELEASE.search(line):
+            licensed = any(w in parts for w in re.findall(r"[a-z]\w{2,}(?:-[a-z]\w*)*", line.lower()))
+    return marked, licensed, True
+
+
+def _features(text: str, path: str, known: set[int] | None) -> tuple:
+    """marked, licensed, open, chars, chars in long lines, chars of data, lines, lines of the commonest shape, telling lines, of these known ones."""
+    lines = text.replace("\r\n", "\n").split("\n")
+    marked, licensed, on = header(lines, path)
     code = path.rsplit(".", 1)[-1].lower() in CODE
     full = [x for x in lines if x.strip()]
-    shapes = Counter(_SIMPLE.sub(lambda t: "9" if t[0][0].isdigit() else "w", x.strip()[:200]) for x in full) if code else Counter()
+    shapes = Counter(_SIMPLE.sub(lambda t: "9" if t[0][0].isdigit() else "w", x.strip()) for x in full) if code else Counter()
     common = max((n for s, n in shapes.items() if "9" in s), default=0)
     telling = matched = 0
     for x in full:
-        squeezed = "".join(x.split())
+        squeezed = x.translate(_BLANKS)
         if len(squeezed) > 25:
             telling += 1
             if known is not None and xxhash.xxh64_intdigest(squeezed) in known:
                 matched += 1
     return (
-        marked, licensed, len(text), sum(len(x) for x in full if len(x) > 300) if code else 0, sum(len(m) for m in _BLOB.findall(text)) if code else 0, len(full), common, telling, matched,
+        marked, licensed, on, len(text), sum(len(x) for x in full if len(x) > 300) if code else 0, sum(len(m) for m in _BLOB.findall(text)) if code else 0, len(full), common, telling, matched,
     )
 
 
-SCHEMA = "repo_id string, file_path string, marked boolean, licensed boolean, chars bigint, long bigint, data bigint, lines bigint, common bigint, telling bigint, known bigint"
+SCHEMA = "repo_id string, file_path string, start_line int, marked boolean, licensed boolean, on boolean, chars bigint, long bigint, data bigint, lines bigint, common bigint, telling bigint, known bigint"
 
 
 def evidence(chunks: DataFrame, upstream: DataFrame) -> DataFrame:
@@ -78,16 +118,40 @@ def evidence(chunks: DataFrame, upstream: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {xxhash.xxh64_intdigest(x) for x in shared.value} if shared.value is not None else None
-        types = [pa.bool_(), pa.bool_(), *[pa.int64()] * 7]
+        types = [pa.bool_()] * 3 + [pa.int64()] * 7
         for b in batches:
-            rows = [_features(t, p or "", s if s is not None else 1, known) for p, t, s in zip(*[c.to_pylist() for c in b.columns[1:]], strict=True)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 9
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], ["repo_id", "file_path", "marked", "licensed", "chars", "long", "data", "lines", "common", "telling", "known"])
-
-    rows = chunks.where("chunk_text is not null and repo_id is not null and file_path is not null").select("repo_id", "file_path", "chunk_text", "start_line")
-    of = rows.mapInArrow(run, SCHEMA).groupBy("repo_id", "file_path").agg(
-        F.bool_or("marked").alias("marked"), F.bool_or("licensed").alias("licensed"), *[F.sum(c).alias(c) for c in ("chars", "long", "data", "lines", "common", "telling", "known")]
-    )
+            rows = [_features(t, p or "", known) for p, t in zip(*[c.to_pylist() for c in b.columns[1:3]], strict=True)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 10
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], b.column(3), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], ["repo_id", "file_path", "start_line", "marked", "licensed", "on", "chars", "long", "data", "lines", "common", "telling", "known"])
+
+    file = ["repo_id", "file_path"]
+    rows = chunks.where("chunk_text is not null and repo_id is not null and file_path is not null").select(*file, "chunk_text", F.coalesce("start_line", F.lit(1)).cast("int").alias("start_line"))
+    heads = F.min_by(F.struct("marked", "licensed", "on"), F.struct("start_line", F.col("on"), ~F.col("marked"), ~F.col("licensed")))
+    of = written(rows.mapInArrow(run, SCHEMA).groupBy(*file).agg(heads.alias("head"), F.min("start_line").alias("first"), *[F.sum(c).alias(c) for c in ("chars", "long", "data", "lines", "common", "telling", "known")]))
+    at_start = F.col("first") <= GAP + 1
+
+    def through(key: tuple, t: pa.Table) -> pa.Table:
+        """A header that fills its file's first chunk goes on in the next."""
+        chunks: dict[int, str] = {}
+        for n, text in sorted(zip(t.column("start_line").to_pylist(), t.column("chunk_text").to_pylist(), strict=True)):
+            chunks.setdefault(n, text)
+
+        def lines() -> Iterator[str]:
+            at = 1
+            for n, text in chunks.items():
+                if n > at + GAP:
+                    yield "unknown"
+                    return
+                here = text.replace("\r\n", "\n").split("\n")
+                at = max(at, n + len(here))
+                yield from here
+
+        marked, licensed, _ = header(lines(), key[1].as_py())
+        return pa.table({"repo_id": pa.array([key[0].as_py()], pa.string()), "file_path": pa.array([key[1].as_py()], pa.string()), "marked": [marked], "licensed": [licensed]})
+
+    going_on = of.where(at_start & F.col("head.on")).select(*file)
+    whole = rows.join(going_on, file, "left_semi").groupBy(*file).applyInArrow(through, "repo_id string, file_path string, marked boolean, licensed boolean")
+    of = of.join(whole, file, "left").withColumn("marked", at_start & F.coalesce("marked", "head.marked")).withColumn("licensed", at_start & F.coalesce("licensed", "head.licensed"))
     if not small:
         mine = rows.select("repo_id", "file_path", F.explode(F.split("chunk_text", "\n")).alias("line")).select("repo_id", "file_path", F.regexp_replace("line", r"\s+", "").alias("line")).where(F.length("line") > 25)
         hit = mine.join(lines.select("line"), "line", "left_semi").groupBy("repo_id", "file_path").agg(F.count(F.lit(1)).alias("known"))
@@ -105,51 +169,94 @@ def glob(pattern: str) -> str:
     anchored = "/" in pattern.strip("/")
     out, i, p = "", 0, pattern.strip("/")
     while i < len(p):
-        if p.startswith("**/", i):
+        if p.startswith("**/", i) and (i == 0 or p[i - 1] == "/"):
             out, i = out + "(?:.*/)?", i + 3
-        elif p.startswith("**", i):
+        elif p[i:] == "**" and (i == 0 or p[i - 1] == "/"):
             out, i = out + ".*", i + 2
         elif p[i] == "*":
             out, i = out + "[^/]*", i + 1
         elif p[i] == "?":
             out, i = out + "[^/]", i + 1
+        elif p[i] == "\\" and i + 1 < len(p):
+            out, i = out + re.escape(p[i + 1]), i + 2
         elif p[i] == "[" and "]" in p[i + 2 :]:
             end = p.index("]", i + 2)
             out, i = out + "[" + ("^" + p[i + 2 : end] if p[i + 1] in "!^" else p[i + 1 : end]).replace("\\", "\\\\") + "]", end + 1
         else:
             out, i = out + re.escape(p[i]), i + 1
-    return ("" if anchored else "(?:.*/)?") + out + ("/.*" if pattern.endswith("/") else "(?:/.*)?" if p.endswith("**") else "")
-
-
-def rules(text: str, path: str) -> list[tuple[str, int, int, str, bool]]:
-    """Of an attribute file: directory, its depth, line, regular expression, and whether what matches is declared so or declared not to be."""
-    at = path.rpartition("/")[0]
-    out = []
-    for n, line in enumerate(text.splitlines()):
-        words = line.split()
-        if len(words) > 1 and not words[0].startswith("#"):
-            for w in words[1:]:
-                m = re.fullmatch(r"(-|!)?linguist-(?:generated|vendored)(?:=(\w+))?", w)
-                if m:
-                    out.append((at, at.count("/") + 1 if at else 0, n, glob(words[0]), not m[1] and (m[2] or "true").lower() in ("true", "1", "yes")))
+    return ("" if anchored or pattern.startswith("/") else "(?:.*/)?") + out + ("/.*" if pattern.endswith("/") else "")
+
+
+_ATTRIBUTE = re.compile(r"([-!])?linguist-(generated|vendored)(?:=(\S+))?")
+_QUOTED = re.compile(r"\"((?:[^\"\\]|\\.)*)\"\s+(.*)")
+
+
+def rules(text: str, first: int = 1) -> list[tuple[int, str, str, bool | None]]:
+    """Of a part of an attribute file that begins at line first: line, pattern, attribute, and whether it is set, unset (False) or left open again (None)."""
+    out: list[tuple[int, str, str, bool | None]] = []
+    for n, line in enumerate(text.split("\n"), first):
+        line = line.strip()
+        if not line or line[0] in "#!" or line.startswith("[attr]"):
+            continue
+        if quoted := _QUOTED.fullmatch(line):
+            pattern, rest = re.sub(r"\\(.)", r"\1", quoted[1]), quoted[2]
+        else:
+            pattern, _, rest = line.replace("\t", " ").partition(" ")
+        for word in rest.split():
+            if m := _ATTRIBUTE.fullmatch(word):
+                value = None if m[1] == "!" else False if m[1] == "-" else (m[3] or "true").lower() in ("true", "1", "yes", "set")
+                out.append((n, pattern, m[2], value))
     return out
 
 
+class Declarations:
+    """The rules of a repository's attribute files. Of each attribute the last rule that matches counts: in its file by line, and of a deeper directory before those above."""
+
+    def __init__(self, said: list[tuple[str, int, str, str, bool | None]]):
+        self.of: dict[str, list[tuple[re.Pattern[str], str, bool | None]]] = {}
+        for directory, _, pattern, attribute, value in sorted(set(said), key=lambda r: (r[0], r[1], r[2], r[3], str(r[4]))):
+            self.of.setdefault(directory, []).append((re.compile(glob(pattern), re.S), attribute, value))
+
+    def __call__(self, path: str) -> bool | None:
+        """Whether a file is declared not to be written by hand: by any attribute that is set; False if one is unset and none set."""
+        values: dict[str, bool | None] = {}
+        parts = path.split("/")
+        for depth in range(len(parts)):
+            inside = "/".join(parts[depth:])
+            for regex, attribute, value in self.of.get("/".join(parts[:depth]), ()):
+                if regex.fullmatch(inside):
+                    values[attribute] = value
+        given = [v for v in values.values() if v is not None]
+        return any(given) if given else None
+
+
+#: Files of a repository that one task compares with its rules.
+SLICE = 100_000
+
+
 def declared(chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """repo_id, file_path and declared: what the attribute files of its repository say of a file; the deepest directory and then the last line counts."""
+    """repo_id, file_path and declared: what the attribute files of its repository say of a file, of which all chunks are read."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(r, *x) for r, p, t in zip(*[c.to_pylist() for c in b.columns], strict=True) for x in rules(t, p)]
+            out = [(r, p.rpartition("/")[0], *x) for r, p, t, n in zip(*[c.to_pylist() for c in b.columns], strict=True) for x in rules(t, n)]
             cols = list(zip(*out, strict=True)) or [[]] * 6
-            types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["repo_id", "dir", "depth", "line", "regex", "says"])
-
-    there = chunks.where(F.col("file_path").rlike(r"(^|/)\.gitattributes$") & F.col("chunk_text").isNotNull()).select("repo_id", "file_path", "chunk_text")
-    said = there.mapInArrow(read, "repo_id string, dir string, depth int, line int, regex string, says boolean").distinct()
-    inside = F.when(F.col("dir") == "", F.col("file_path")).when(F.startswith("file_path", F.concat("dir", F.lit("/"))), F.expr("substring(file_path, length(dir) + 2)"))
-    matched = files.select("repo_id", "file_path").join(said, "repo_id").where(F.regexp_like(inside, F.concat(F.lit("^"), "regex", F.lit("$"))))
-    return matched.groupBy("repo_id", "file_path").agg(F.max_by("says", F.struct("depth", "line", "says")).alias("declared"))
+            types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["repo_id", "dir", "line", "pattern", "attribute", "says"])
+
+    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
+        says = Declarations(list(zip(*[right.column(c).to_pylist() for c in ("dir", "line", "pattern", "attribute", "says")], strict=True)))
+        paths = left.column("file_path").to_pylist() if len(right) else []
+        return pa.table({"repo_id": left.column("repo_id").slice(0, len(paths)), "file_path": pa.array(paths, pa.string()), "declared": pa.array([says(p) for p in paths], pa.bool_())})
+
+    there = chunks.where(F.col("file_path").rlike(r"(^|/)\.gitattributes$") & F.col("chunk_text").isNotNull()).select("repo_id", "file_path", "chunk_text", F.coalesce("start_line", F.lit(1)).cast("int").alias("start_line"))
+    said = written(there.mapInArrow(read, "repo_id string, dir string, line int, pattern string, attribute string, says boolean").distinct())
+    mine = files.select("repo_id", "file_path").join(said.select("repo_id").distinct(), "repo_id", "left_semi")
+    # the files of a repository are dealt out to slices, each of which gets the repository's rules
+    slices = mine.groupBy("repo_id").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
+    rows = mine.join(slices, "repo_id").select("repo_id", "file_path", F.pmod(F.xxhash64("file_path"), F.col("slices")).cast("int").alias("slice"))
+    spread = said.join(slices.alias("s"), "repo_id").select("repo_id", "dir", "line", "pattern", "attribute", "says", F.explode(F.sequence(F.lit(0), F.col("s.slices") - 1)).alias("slice"))
+    return rows.groupBy("repo_id", "slice").cogroup(spread.groupBy("repo_id", "slice")).applyInArrow(apply, "repo_id string, file_path string, declared boolean").where("declared is not null")
 
 
 # --------------------------------------------------------------------------- mined patterns
