@@ -4,7 +4,7 @@ Each item goes to the fill level that leaves the smallest sum of squared counts
 containers. The counts are an array by level, so a choice costs one pass over the levels whatever
 the number of containers. Tasks pack their own rows as these stream by; what containers are left
 badly filled at a task's end is opened again, brought together from all tasks and packed a second
-time, in decreasing order.
+time in the same way, in as many tasks as there are items for.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from codeloom.llm.base import TOKENIZERS, written
 from codeloom.llm.tokens import encoder
 
+#: Items that a task of the second pass packs; each leaves some containers badly filled.
+PER_TASK = 20_000
+
 #: doc_id, the part of its text (from 1), first token of the part (from 0), tokens.
 Item = tuple[int, int, int, int]
 
@@ -123,8 +126,8 @@ def pack(df: DataFrame, key: Column, text: Column, capacity: int = 2048, path: s
     items = df.select(key.cast("bigint").alias("doc_id"), text.alias("text"))
     once = written(items.mapInArrow(first, SCHEMA))  # container names must not change if a task is run again
     again = once.where("container_id = ''")
-    tasks = max(1, items.rdd.getNumPartitions() // 8)
-    again = again.repartition(tasks, F.xxhash64("doc_id", "part")).sortWithinPartitions(F.desc("n_tokens"), "doc_id", "part").mapInArrow(second, SCHEMA)
+    tasks = max(1, -(-again.count() // PER_TASK))
+    again = written(again.repartition(tasks, F.xxhash64("doc_id", "part")).mapInArrow(second, SCHEMA))
     return once.where("container_id is null or container_id <> ''").unionByName(again)
 
 

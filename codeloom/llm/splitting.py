@@ -20,7 +20,7 @@ LINE = re.compile(r"[^\n]*\n|[^\n]+")
 # First words of lines that begin a symbol.
 SYMBOL = re.compile(r"\s*(?:@|(?:(?:export|default|public|private|protected|static|final|abstract|async)\s+)*(?:def|class|func|function|interface|struct|type|enum|impl|fn|module|namespace|variable|resource)\b|#{1,6} )")
 
-SCHEMA = "row_id bigint, piece int, chunk_text string, start_line int, end_line int, cut_line int"
+SCHEMA = "row_id bigint, piece int, chunk_text string, start_line int, end_line int, cut_line int, start_char int"
 
 
 class RangeMax:
@@ -88,25 +88,29 @@ def pieces(text: str, limit: int = 2048, overlap_lines: int = 2, overlap_chars:
             start = max(start + 1, cut - overlap_chars)
         else:
             last = int(np.searchsorted(ends, cut, side="left"))
-            back = int(starts[max(0, last - overlap_lines + 1)])
-            if last and max(ends[max(0, last - overlap_lines + 1) : last + 1] - starts[max(0, last - overlap_lines + 1) : last + 1]) > limit:
-                back = cut - overlap_chars
+            for k in range(min(overlap_lines, last + 1), 0, -1):  # fewer lines where they would be the whole piece
+                back = int(starts[last - k + 1])
+                if max(ends[last - k + 1 : last + 1] - starts[last - k + 1 : last + 1]) > limit:
+                    back = cut - overlap_chars
+                if back > start:
+                    break
             start = back if back > start else cut
     yield start, n, int(np.searchsorted(ends, start, side="right")) + 1, len(lines), 0
 
 
 def split(df: DataFrame, limit: int = 2048, overlap_lines: int = 2, overlap_chars: int = 128) -> DataFrame:
-    """row_id, piece (from 1), chunk_text, start_line, end_line and cut_line of the pieces of each row's chunk_text.
+    """row_id, piece (from 1), chunk_text, start_line, end_line, cut_line and start_char of the pieces of each row's chunk_text.
 
     df has row_id, chunk_text and start_line; others are not read. No piece is longer than limit.
     start_line and end_line are lines of the file; cut_line is the line, counted inside the chunk,
-    that had to be cut at the piece's end, else 0. Shorter texts are one piece and stay in the JVM.
+    that had to be cut at the piece's end, else 0; start_char is the offset of the piece in the text.
+    The overlap has fewer lines where as many would make up the whole piece. Shorter texts are one piece and stay in the JVM.
     A null text gives no rows, the empty text one empty piece; a null start_line counts as 1, and
     repeated rows are split each for itself.
     """
     rows = df.select(F.col("row_id").cast("bigint"), "chunk_text", F.coalesce(F.col("start_line"), F.lit(1)).cast("int").alias("start_line"))
     short = rows.where(F.length("chunk_text") <= limit).select(
-        "row_id", F.lit(1).alias("piece"), "chunk_text", "start_line", (F.col("start_line") + F.greatest(F.size(F.split("chunk_text", "\n")) - F.when(F.col("chunk_text").endswith("\n"), 2).otherwise(1), F.lit(0))).alias("end_line"), F.lit(0).alias("cut_line")
+        "row_id", F.lit(1).alias("piece"), "chunk_text", "start_line", (F.col("start_line") + F.greatest(F.size(F.split("chunk_text", "\n")) - F.when(F.col("chunk_text").endswith("\n"), 2).otherwise(1), F.lit(0))).alias("end_line"), F.lit(0).alias("cut_line"), F.lit(0).alias("start_char")
     )
     return split_long(df, limit, overlap_lines, overlap_chars).unionByName(short)
 
@@ -120,10 +124,10 @@ def split_long(df: DataFrame, limit: int = 2048, overlap_lines: int = 2, overlap
                 out: list[tuple] = []
                 for row, text, line in zip(*[c.to_pylist() for c in b.slice(k, 256).columns], strict=True):
                     for i, (s, e, first, last, cut) in enumerate(pieces(text, limit, overlap_lines, overlap_chars), 1):
-                        out.append((row, i, text[s:e], line + first - 1, line + last - 1, cut))
-                cols = list(zip(*out, strict=True)) or [[]] * 6
-                types = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["row_id", "piece", "chunk_text", "start_line", "end_line", "cut_line"])
+                        out.append((row, i, text[s:e], line + first - 1, line + last - 1, cut, s))
+                cols = list(zip(*out, strict=True)) or [[]] * 7
+                types = [pa.int64(), pa.int32(), pa.string(), *[pa.int32()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["row_id", "piece", "chunk_text", "start_line", "end_line", "cut_line", "start_char"])
 
     rows = df.where(F.length("chunk_text") > limit).select(F.col("row_id").cast("bigint"), "chunk_text", F.coalesce(F.col("start_line"), F.lit(1)).cast("int").alias("start_line"))
     return rows.mapInArrow(run, SCHEMA)

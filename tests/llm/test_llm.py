@@ -210,6 +210,11 @@ def test_lines_about_as_long_as_the_limit(n, end, before):
     assert {x[4] for x in out} - {0} == {i for i, x in enumerate(text.split("\n"), 1) if len(x.removesuffix("\r")) > 2048}
 
 
+def test_overlap_of_fewer_lines():
+    text = ("x" * 900 + "\n") * 6
+    assert [(s, e) for s, e, *_ in splitting.pieces(text)] == [(k * 901, k * 901 + 1802) for k in range(5)]
+
+
 def test_range_maximum():
     rng = np.random.default_rng(0)
     for n in (1, 2, 7, 64, 100):
