@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +23,12 @@ from codeloom.llm.base import written
 
 #: A value with at least so many owners, and this share of all repositories, is a placeholder.
 OWNERS, SHARE = 6, 0.03
-#: Characters of confirmed values in one automaton; more values are searched for in further passes.
+#: Characters of confirmed values in one automaton; more are looked up by their ends.
 AUTOMATON = 16_000_000
+#: A value of fewer characters is no credential unless it is found in a place that only credentials have (a URL, a manifest, a key block).
+LEAST = 6
+#: Bits of the filter of ends of values that is broadcast where these are too many for one automaton.
+FILTER = 1 << 27
 #: A value of fewer characters is searched for again only if it is telling.
 SHORT = 12
 
@@ -42,14 +47,13 @@ _SHAPES = {
 }
 #: The same, after whatever character can't be part of one.
 _STRUCTURED = re.compile(r"(?<![A-Za-z0-9_/+-])(?:" + "|".join(a + b for a, b in _SHAPES.items()) + ")")
-_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@\"'`<>]{0,80}:([^\s@\"'`]{1,200})@")
+_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]+://[^\s/:@\"'`<>]*+:([^\s@\"'`]++)@")
 _HEADER = re.compile(r"(?i)\b(?:authorization|proxy-authorization|x-api-key|x-auth-token)[\"']?\s*[:=,]\s*[\"'`]?(?:(?:bearer|basic|token|digest|apikey)\s+)?([^\s\"'`,;]{6,})|\b(?:bearer|basic)\s+([A-Za-z0-9+/=._~-]{16,})")
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?=\s*\Z)|(?:\\n|\\r|[\s\"'+\\#/*>|])*[A-Za-z0-9+/=]{8,}(?:[\s\S]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|(?:\\n|[A-Za-z0-9+/=\s])*))")
 #: Something that ends like a credential's name, and what stands between a name and its value.
 _NAMED = re.compile(r"(?i)((?:passw(?:or)?d|pwd|pass|pw|passphrase|passcode|secrets?|token|key|cred(?:ential)?s?|auth)(?:[_-]?\d+)?)([\"'`\]]{0,2}[ \t]*(?::[ \t]*[A-Za-z]\w*[ \t]*(?==[^=>]))?(?::=|=>|=(?!=)|:(?!:)|,(?=[ \t]*[\"'])|(?<=\w)[ \t]+(?=[\"']|(?:was|is|as)[ \t]))(?:[ \t]*(?:was|is|as)[ \t]+)?[ \t]*)")
-_NAME = re.compile(r"[\w$.-]*\Z")
 _TERRAFORM = re.compile(r"variable\s+\"([\w-]+)\"\s*\{[^{}]*?\bdefault\s*=\s*\"([^\"\n]*)\"")
-_XML = re.compile(r"<([\w.:-]+)>([^<>\s]{4,200})</\1>")
+_XML = re.compile(r"<([\w.:-]+)>([^<>\s]{4,})</\1>")
 _LITERAL = re.compile(r"[rRbBuUfF]{0,2}(\"\"\"|'''|\"|'|`)")
 _MORE = re.compile(r"\s*(?:\+|\.(?=\s*[\"'])|\\\n|\n)?\s*[rRbBuUfF]?([\"'`])")
 _BARE = re.compile(r"[^\s\"'`,;()\[\]{}<>]+")
@@ -85,7 +89,7 @@ def placeholder(value: str) -> bool:
 
 def telling(value: str) -> bool:
     """Whether a value by its characters can be a credential: more than words."""
-    if len(value) < 6 or len(value) > 4000 or any(c.isspace() for c in value) or placeholder(value) or "${" in value or "{{" in value:
+    if len(value) < LEAST or any(c.isspace() for c in value) or placeholder(value) or "${" in value or "{{" in value:
         return False
     return any(c.isdigit() for c in value) or (any(c.isupper() for c in value[1:]) and any(c.islower() for c in value)) or any(c in "!#$%^&*+=?@~" for c in value)
 
@@ -154,8 +158,10 @@ def hits(text: str, path: str) -> list[Hit]:
         if credential(m[1]) and telling(m[2]):
             add(m.start(2), m.end(2), m[2], "named")
     for m in _NAMED.finditer(text):
-        before = _NAME.search(text, max(0, m.start() - 80), m.start())
-        name = before.group() + m[1] if before else m[1]
+        at = m.start()
+        while at and (text[at - 1].isalnum() or text[at - 1] in "_$.-"):
+            at -= 1
+        name = text[at : m.start()] + m[1]
         if not credential(name):
             continue
         at = m.end()
@@ -253,7 +259,7 @@ def _key_lines(block: str) -> Iterator[str]:
     # what has no end may run on into other text, which is no key
     least = SHORT if "-----END" in block else 40
     lines += ["".join(lines)] if len(lines) > 1 and least == SHORT else []
-    yield from (x for x in lines if len(x) >= least and (telling(x) or len(x) > 4000))
+    yield from (x for x in lines if len(x) >= least and telling(x))
 
 
 def searched(value: str, kind: str) -> set[tuple[str, str]]:
@@ -273,7 +279,7 @@ def searched(value: str, kind: str) -> set[tuple[str, str]]:
         inner = hits(plain, ".env")
         out |= {x for h in inner if h.kind != "data" for x in searched(h.value, h.kind)}
         # manifests also hold plain words, which stand elsewhere in their own right
-        if "-----BEGIN" not in plain and any(telling(x[:4000]) for x in plain.split()):
+        if "-----BEGIN" not in plain and any(telling(x) for x in plain.split()):
             out.add((plain, "again"))
     return {(w, k) for w, k in out if len(w) >= SHORT or telling(w)}
 
@@ -289,35 +295,102 @@ def _words(confirmed: DataFrame) -> DataFrame:
     return confirmed.select("value", "kind").distinct().mapInArrow(run, "value string, kind string").groupBy("value").agg(F.min("kind").alias("kind"))
 
 
+def _apart(text: str, start: int, end: int) -> bool:
+    """Whether what stands there is no part of a longer word."""
+    return not (start and text[start - 1].isalnum()) and not text[end : end + 1].isalnum()
+
+
 def _rescan(df: DataFrame, values: DataFrame) -> DataFrame:
-    """Where the values stand in df's texts, whatever stands around them; in passes of bounded automata."""
-    spark = df.sparkSession
+    """Where the values stand in df's texts, whatever stands around them; each text is read once.
+
+    Values of together up to AUTOMATON characters make one automaton that is broadcast. Of more, a
+    filter of a fixed number of bits is broadcast, which tells the places where the last characters
+    of some value may stand. Only these places are shuffled to the values with the same last
+    characters, of which each group of texts and values makes an automaton of its own.
+    """
     size = values.agg(F.sum(F.length("value"))).first()[0] or 0
-    passes = -(-size // AUTOMATON)
     texts = df.where("chunk_text is not null").select(F.col("row_id").cast("bigint"), "chunk_text")
-    out = None
-    for k in range(passes):
-        part = values.where(F.pmod(F.xxhash64("value"), F.lit(passes)) == k) if passes > 1 else values
-        words = spark.sparkContext.broadcast([c.to_pylist() for c in part.select("value", "kind").toArrow().columns])
-
-        def run(batches: Iterator[pa.RecordBatch], words=words) -> Iterator[pa.RecordBatch]:  # type: ignore[no-untyped-def]
-            automaton = ahocorasick.Automaton()
-            for w, kind in zip(*words.value, strict=True):
-                automaton.add_word(w, (w, kind))
-            if len(automaton):
-                automaton.make_automaton()
-            for b in batches:
-                found: list[tuple] = []
-                for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    for last, (w, kind) in automaton.iter(text) if len(automaton) else ():
-                        start, end = last - len(w) + 1, last + 1
-                        if not (text[start - 1 : start].isalnum() and start) and not text[end : end + 1].isalnum():
-                            found.append((row, text.count("\n", 0, start) + 1, start, end, w, kind, ""))
-                yield _batch(found)
-
-        once = texts.mapInArrow(run, SCHEMA)
-        out = once if out is None else out.unionByName(once)
-    return out if out is not None else spark.createDataFrame([], SCHEMA)
+    if not size:
+        return df.sparkSession.createDataFrame([], SCHEMA)
+    return _scan_all(texts, values) if size <= AUTOMATON else _scan_parts(texts, values)
+
+
+def _automaton(words: Iterable[tuple[str, str]]) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton()
+    for w, kind in words:
+        automaton.add_word(w, (w, kind))
+    automaton.make_automaton()
+    return automaton
+
+
+def _occurrences(automaton: ahocorasick.Automaton, row: int, text: str) -> Iterator[tuple]:
+    for last, (w, kind) in automaton.iter(text):
+        start, end = last - len(w) + 1, last + 1
+        if _apart(text, start, end):
+            yield row, text.count("\n", 0, start) + 1, start, end, w, kind, ""
+
+
+def _scan_all(texts: DataFrame, values: DataFrame) -> DataFrame:
+    words = texts.sparkSession.sparkContext.broadcast([c.to_pylist() for c in values.select("value", "kind").toArrow().columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(zip(*words.value, strict=True))
+        for b in batches:
+            yield _batch([x for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in _occurrences(automaton, row, text)])
+
+    return texts.mapInArrow(run, SCHEMA)
+
+
+def _ends(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each place where a value may end, which is no place within a word: the offset behind it, and a hash of the LEAST characters before."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(codes) - LEAST + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = np.zeros(n, np.uint64)
+    for k in range(LEAST):
+        h = (h ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    word = np.fromiter((c.isalnum() for c in text), bool, len(text))
+    at = np.flatnonzero(~np.append(word[LEAST:], False))
+    return at + LEAST, h[at]
+
+
+def _scan_parts(texts: DataFrame, values: DataFrame) -> DataFrame:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [int(_ends(v)[1][-1].view(np.int64)) for v in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h, pa.int64())], ["value", "kind", "h"])
+
+    ends = written(values.select("value", "kind").where(F.length("value") >= LEAST).mapInArrow(hashed, "value string, kind string, h bigint"))
+    # the filter: words of 64 bits, those that have any set
+    slot = F.pmod(F.col("h"), F.lit(FILTER))
+    set_bits = ends.select((slot / 64).cast("bigint").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(h, {FILTER}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(FILTER // 64, np.uint64)
+    bits[np.asarray(set_bits.column("word"))] = np.asarray(set_bits.column("bits")).view(np.uint64)
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            rows, ats, hs = [], [], []
+            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at, h = _ends(text)
+                slot = np.mod(h.view(np.int64), np.int64(FILTER)).astype(np.uint64)
+                hit = (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+                rows += [row] * int(hit.sum())
+                ats += at[hit].tolist()
+                hs += h[hit].view(np.int64).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ats, pa.int32()), pa.array(hs, pa.int64())], ["row_id", "end", "h"])
+
+    places = texts.mapInArrow(run, "row_id bigint, end int, h bigint")
+    # values that end alike and lie where one may end: by their length the text tells which
+    near = places.join(ends, "h").select("row_id", "end", "value", "kind")
+    there = near.join(texts, "row_id").where((F.col("end") >= F.length("value")) & (F.col("chunk_text").substr(F.col("end") - F.length("value") + 1, F.length("value")) == F.col("value")))
+    start = F.col("end") - F.length("value")
+    whole = there.where((start == 0) | ~F.col("chunk_text").substr(start, F.lit(1)).rlike(r"[\p{L}\p{N}]"))
+    line = F.length(F.col("chunk_text").substr(F.lit(1), start)) - F.length(F.replace(F.col("chunk_text").substr(F.lit(1), start), F.lit("\n"), F.lit("")))
+    return whole.select("row_id", (line + 1).cast("int").alias("line_no"), start.cast("int").alias("start"), "end", "value", "kind", F.lit("").alias("more")).distinct()
 
 
 def find(df: DataFrame, owners: int = OWNERS) -> DataFrame:

@@ -160,6 +160,26 @@ def test_every_confirmed_value_is_searched_for(spark):
     assert out[7] == "// REDACTED\nx(UkVEQUNURUQ=)\n// right-column" and out[8] == 'k = """REDACTED"""'
 
 
+def test_values_beyond_one_automaton(spark, monkeypatch):
+    """Looked up by their ends, values are found where an automaton finds them."""
+    rng = random.Random(8)
+    secret = lambda: "".join(rng.choice("abcXYZ019-+é") for _ in range(rng.randint(7, 30))) + "7x"
+    known = [secret() for _ in range(40)] + ["tail-77Xy-tail-77Xy", "x" * 5000 + "A1"]
+    rows = [(i, "a.py", f'password = "{v}"') for i, v in enumerate(known)]
+    rows += [(100 + i, "b.go", f"// é\n  was {v},\nnot x{v} or {v}y but ({v})\n{rng.choice(known)}") for i, v in enumerate(known)] + [(300, "b.go", ""), (301, "b.go", None)]
+    df = spark.createDataFrame([(i, f"r{i}", p, t) for i, p, t in rows], "row_id long, repo_id string, file_path string, chunk_text string")
+    columns = ["row_id", "line_no", "start", "end", "value"]
+    one = got(secrets.find(df).select(*columns))
+    monkeypatch.setattr(secrets, "AUTOMATON", 100)
+    assert got(secrets.find(df).select(*columns)) == one and len(one) > 150
+
+
+def test_no_limits_of_length(spark):
+    user, password = "u" * 100, "p4-" * 100
+    assert [h.value for h in secrets.hits(f"x = 'redis://{user}:{password}@h/1'", "a.py")] == [password]
+    assert [h.line_no for h in secrets.hits("a" * 200 + "_password = \"" + "Ab1+" * 1500 + "\"", "a.py")] == [1]
+
+
 def test_copies_and_shapes_are_no_placeholders(spark):
     rows = [(i, f"r{i}", 'db_password = "Rare-value-77x"') for i in range(7)]  # copies of one text
     rows += [(100 + i, f"r{i}", f'x{i} = "npm_{"aB3" * 12}"\ntoken = "ghp_{"aB3" * 8}"') for i in range(8)]  # shapes
