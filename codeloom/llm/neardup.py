@@ -4,7 +4,8 @@ Texts that agree in a band of MinHash values are candidates. The values of a can
 compared step by step; the pair is dropped as soon as the posterior probability that its similarity
 reaches the threshold falls below a tolerance, and what is left is verified exactly. Buckets are
 compared in blocks of bounded size, and a pair is taken up only in the first band in which it
-agrees, so that neither a large bucket nor a pair of many bands is gathered anywhere.
+agrees, so that neither a large bucket nor a pair of many bands is gathered anywhere. Only numbers
+are shuffled to the buckets; signatures follow to the buckets that have several members.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codeloom.llm.base import written
 
@@ -90,14 +92,18 @@ def least_matches(threshold: float, tolerance: float, n: int) -> int:
 
 
 def signatures(df: DataFrame, run: int, least: int) -> DataFrame:
-    """id, sig and the shingles of the distinct chunk_hash of df."""
+    """id, sig and the shingles of the chunk_hash of df; a chunk_hash has at most one row of each task."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(run)
+        shingles, seen = Shingles(run), set()
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 ids, sets = [], []
                 for i, t in zip(*[c.to_pylist() for c in b.slice(k, 1024).columns], strict=True):
+                    digest = xxhash.xxh3_128_digest(i)
+                    if digest in seen:
+                        continue
+                    seen.add(digest)
                     if (s := shingles.of(t, least)) is not None:
                         ids.append(i)
                         sets.append(s)
@@ -107,18 +113,18 @@ def signatures(df: DataFrame, run: int, least: int) -> DataFrame:
                 )
 
     texts = df.where("chunk_hash is not null and chunk_text is not null").select("chunk_hash", "chunk_text")
-    return texts.mapInArrow(sign, "id string, sig binary, shingles array<bigint>").groupBy("id").agg(F.first("sig").alias("sig"), F.first("shingles").alias("shingles"))
+    return texts.mapInArrow(sign, "id string, sig binary, shingles array<bigint>")
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each signature's bands: the bucket is a hash of the band's number and values."""
     for b in batches:
-        sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, BANDS)  # four values make one number
+        sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(-1, BANDS)  # four values make one number
         mixed = (sig ^ (np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX[0])) * _MIX[1]
         mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX[2]
         n = len(sig)
-        ids = b.column(0).take(pa.array(np.repeat(np.arange(n), BANDS)))
-        yield pa.RecordBatch.from_arrays([pa.array((mixed ^ (mixed >> np.uint64(31))).view(np.int64).ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int8), n)), ids], ["bucket", "band", "id"])
+        at = pa.array(np.repeat(np.arange(n), BANDS))
+        yield pa.RecordBatch.from_arrays([pa.array((mixed ^ (mixed >> np.uint64(31))).view(np.int64).ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int8), n)), b.column(0).take(at), b.column(1).take(at)], ["bucket", "band", "place", "h"])
 
 
 def _compare(steps: list[tuple[int, int]]):  # type: ignore[no-untyped-def]
@@ -155,7 +161,7 @@ def _compare(steps: list[tuple[int, int]]):  # type: ignore[no-untyped-def]
         key = np.stack([np.asarray(t.column("bucket")), np.asarray(t.column("block"))])
         bucket = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0))])
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
-        ids = t.column("id").combine_chunks()
+        ids = t.column("place").combine_chunks()
         for p, q in pairs(bucket, np.asarray(t.column("band")), np.asarray(t.column("side")), sig):
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(p)), ids.take(pa.array(q))], ["x", "y"])
 
@@ -170,23 +176,25 @@ def similar(df: DataFrame, threshold: float = 0.7, run: int = 3, least: int = 25
     either take no part, nor do texts of fewer than least words, the empty one among them; copies
     of a chunk_hash count once. An empty table gives no rows.
     """
-    signed = written(signatures(df, run, least))
-    bands = signed.select("id", "sig").mapInArrow(_buckets, "bucket bigint, band tinyint, id string")
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = bands.join(shared, "bucket").join(signed.select("id", "sig"), "id")
+    signed = written(signatures(df, run, least).withColumn("place", F.monotonically_increasing_id()))
+    bands = signed.select("place", F.xxhash64("id").alias("h"), "sig").mapInArrow(_buckets, "bucket bigint, band tinyint, place bigint, h bigint")
+    # one shuffle of numbers by bucket: copies are reduced to the first, and buckets of one text left out
+    alone = bands.repartition("bucket").groupBy("bucket", "h").agg(F.min("place").alias("place"), F.first("band").alias("band"))
+    members = alone.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1")
+    members = members.join(signed.select("place", "sig"), "place")
     # a bucket of many members is dealt out to blocks, each of which meets itself and every other one
     many = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), many).cast("int")
+    mine = F.pmod(F.xxhash64("place"), many).cast("int")
     members = members.withColumn("blocks", many).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    members = members.select("bucket", (low * F.col("blocks") + high).alias("block"), "band", F.when(low == high, -1).when(F.col("mine") == low, 0).otherwise(1).cast("tinyint").alias("side"), "id", "sig")
+    members = members.select("bucket", (low * F.col("blocks") + high).alias("block"), "band", F.when(low == high, -1).when(F.col("mine") == low, 0).otherwise(1).cast("tinyint").alias("side"), "place", "sig")
     steps = [(n, least_matches(threshold, tolerance, n)) for n in (16, 32, 48, 64, 96)]
-    met = members.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(_compare(steps), "x string, y string")
-    left = met.select(F.least("x", "y").alias("hash_a"), F.greatest("x", "y").alias("hash_b"))
-    sets = signed.select("id", "shingles")
-    both = left.join(sets.select(F.col("id").alias("hash_a"), F.col("shingles").alias("a")), "hash_a").join(sets.select(F.col("id").alias("hash_b"), F.col("shingles").alias("b")), "hash_b")
-    common = F.size(F.array_intersect("a", "b"))
-    both = both.select("hash_a", "hash_b", common.alias("c"), (F.size("a") + F.size("b") - common).alias("u"))
+    met = written(members.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(_compare(steps), "x bigint, y bigint"))
+    # the size of what is left is known here, so that Spark joins the shingles of few pairs without a shuffle
+    side = lambda name, id: signed.select(F.col("place").alias(name), F.col("id").alias(id), F.col("shingles").alias(f"{id}_set"))
+    both = met.join(side("x", "a"), "x").join(side("y", "b"), "y")
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    both = both.select(F.least("a", "b").alias("hash_a"), F.greatest("a", "b").alias("hash_b"), common.alias("c"), (F.size("a_set") + F.size("b_set") - common).alias("u"))
     return both.where(F.col("c") >= threshold * F.col("u") - 1e-9).select("hash_a", "hash_b", (F.col("c") / F.col("u")).alias("similarity"))
 
 
