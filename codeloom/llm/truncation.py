@@ -27,12 +27,15 @@ from codeloom.llm.base import written
 #: Texts on which the classifier is fitted, and slots of its hashed features.
 SAMPLE, SLOTS = 12_000, 1 << 15
 
-#: Sources that must have the very same text for it to count as common.
-COMMON = 4
+#: A character that is no blank of any kind.
+NOT_BLANK = r"[^\s\x{85}\x{a0}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+#: Sources that must have the very same text for it to count as common, and for it to be whole: the same cut would have had to happen in each.
+COMMON, SURELY = 4, 8
 
 _STRINGS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_LAST = re.compile(r"([^\W\d_]+)[^\w]{0,3}\Z")
+#: Marks of omission.
+_MARKS = ("[...]", "...", "…", "[truncated]")
 _ENDS = ".!?。！？…"
 
 
@@ -67,8 +70,8 @@ def _line_type(line: str) -> str:
     return "prose"
 
 
-def describe(text: str, kind: str | None, chars: list[int], octets: list[int], common: bool = False) -> tuple[list[str], str]:
-    """The features of a text with the limits of its source, and its last word; common: whether many sources have this very text."""
+def describe(text: str, kind: str | None, chars: list[int], octets: list[int]) -> tuple[list[str], str, str, bool]:
+    """The features of a text with the limits of its source, its last word (with a blank behind if something follows it), its last two, and whether it is closed."""
     k = kind or "?"
     lines = text.rstrip("\r\n").split("\n")
     last = lines[-1].rstrip("\r")
@@ -87,6 +90,9 @@ def describe(text: str, kind: str | None, chars: list[int], octets: list[int], c
         f"c1{c1}", f"c2{c2}", f"c3{''.join(c)}", f"k{k}{c1}", f"k{k}n{newline}", f"t{t}", f"t{t}{c1}", f"k{k}t{t}{closed}", f"t{t}{c2}", f"nl{newline}{t}{closed}",
         f"closed{closed}{single}{anywhere}", f"w{min(n_words, 12)}{t}{closed}", f"sp{text[-1:].isspace()}{closed}{newline}", f"prose{t == 'prose'}{closed}{inner > 0}{k}", f"single{single}{anywhere}{closed}{min(n_words, 8)}{k}",
     ]
+    trail = text[len(body) :]
+    if trail:
+        f.append(f"trail{min(3, len(trail))}{trail == ' '}{closed}")
     if body.count("```") % 2:
         f.append("fence")
         f.append(f"fence{t}")
@@ -113,36 +119,59 @@ def describe(text: str, kind: str | None, chars: list[int], octets: list[int], c
         f += [f"prev{same}{t}{(pb in _ENDS) == (body[-1] in _ENDS)}", f"prevc{_kind_of(pb) if pb else ''}{c1}{t}", f"prevt{_line_type(before)}{t}{closed}"]
         if t in ("row", "rowopen"):
             f.append(f"cells{last.count('|') == before.count('|')}")
-    if m := re.search(r"(\S)(\.\.\.|…|\[\.\.\.\]|\[truncated\])$", body):
-        f += [f"mark{_kind_of(m[1])}{len(body) > 60}", f"mark{len(body) > 60}{inner > 0 or anywhere}"]
-    word = _LAST.search(body)
+    mark = next((x for x in _MARKS if body.endswith(x)), "")
+    if mark and not (body[-len(mark) - 1 : -len(mark)] or " ").isspace():
+        f += [f"mark{_kind_of(body[-len(mark) - 1])}{len(body) > 60}", f"mark{len(body) > 60}{inner > 0 or anywhere}"]
+    first_word, last_word = _last_two(body)
     tail = body[-1].isalpha()
-    if tail and len(body) > 2 and (m := re.search(r"([.!?。！？]?)\s(\S)$", body)):
-        f.append(f"alone{bool(m[1])}{m[2].isascii()}")
+    if tail and len(body) > 2 and body[-2].isspace():
+        f.append(f"alone{body[-3] in '.!?。！？'}{body[-1].isascii()}")
     n, b = len(text), len(text.encode())
     at = n in chars or any(x - 3 <= b <= x for x in octets)  # a cut in bytes may take away a character's
-    f += [f"limit{at}{closed}", f"at{at}{c1 in 'aAlc9_'}{t}", f"limits{bool(chars or octets)}{at}", f"atc{at}{c1}", f"atk{at}{k}", f"common{common}", f"common{common}{closed}"]
-    return f, (word[1].lower() if word else "") + ("" if tail else " ")
+    f += [f"limit{at}{closed}", f"at{at}{c1 in 'aAlc9_'}{t}", f"limits{bool(chars or octets)}{at}", f"atc{at}{c1}", f"atk{at}{k}"]
+    last_word = last_word.lower()
+    return f, last_word + ("" if tail else " "), f"{first_word.lower()} {last_word}" if first_word else "", closed
+
+
+def _letters_before(text: str, end: int) -> int:
+    while end and text[end - 1].isalnum() and not text[end - 1].isdecimal():
+        end -= 1
+    return end
+
+
+def _last_two(body: str) -> tuple[str, str]:
+    """The last word, which up to three other characters may follow, and the word right before it, or empty strings."""
+    end = len(body)
+    while end and len(body) - end < 3 and not (body[end - 1].isalnum() or body[end - 1] == "_"):
+        end -= 1
+    start = _letters_before(body, end)
+    gap = start
+    while gap and body[gap - 1].isspace():
+        gap -= 1
+    first = _letters_before(body, gap) if gap < start else gap
+    return body[first:gap] if start < end else "", body[start:end]
 
 
 def _slots(features: list[str]) -> list[int]:
     return sorted({zlib.crc32(x.encode()) % SLOTS for x in features})
 
 
-def _word_features(n: int | None, ends: int | None, whole: bool) -> list[str]:
-    n, ends = n or 0, ends or 0
+def _word_features(n: int | None, ends: int | None, whole: bool, common: bool, closed: bool, like: int | None) -> list[str]:
+    """like: how many different texts end in the same two words, if these are what most texts with the same last word end in."""
+    n, ends, like = n or 0, ends or 0, like or 0
     size = 0 if n < 1 else min(6, n.bit_length())
     share = 0 if not ends else 1 + min(4, int(np.log2(max(1.0, n / ends))) // 2)
-    return [f"vn{size}{whole}", f"ve{share}{whole}", f"vne{size}{share}{whole}"]
+    alike = min(4, like.bit_length() // 2) if share in (1, 2) else 0
+    return [f"vn{size}{whole}", f"ve{share}{whole}", f"vne{size}{share}{whole}", f"common{common}", f"common{common}{closed}", f"like{alike}", f"like{alike}{closed}"]
 
 
 def limits(docs: DataFrame, least: int = 3) -> DataFrame:
-    """source, chars and octets: the lengths at which the texts of a source pile up, in characters and in bytes.
+    """source, chars and octets: the lengths at which the texts of a source pile up, in characters and in bytes; docs has source, n, b and h of each text.
 
     Different texts are counted: at least so many must have a length, more than the six lengths on
     either side have together, and six times as many as its wider neighbourhood would have it.
     """
-    texts = docs.select("source", F.length("text").alias("n"), F.octet_length("text").alias("b"), F.xxhash64("text").alias("h"))
+    texts = docs.select("source", "n", "b", "h")
     both = texts.select("source", "h", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n").alias("length")), F.struct(F.lit("octets").alias("unit"), F.col("b").alias("length")))).alias("x"))
     counts = both.select("source", "x.unit", "x.length", "h").distinct().groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("m"))
     counts = counts.withColumn("beside", F.sum("m").over(Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-6, 6)) - F.col("m"))
@@ -154,69 +183,81 @@ def limits(docs: DataFrame, least: int = 3) -> DataFrame:
     return high.groupBy("source").agg(F.sort_array(F.collect_list(F.when(F.col("unit") == "chars", F.col("length")))).alias("chars"), F.sort_array(F.collect_list(F.when(F.col("unit") == "octets", F.col("length")))).alias("octets"))
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """word, n and ends: how often each word of the texts occurs, and how often at the end of a line."""
+SCHEMA = "doc_id bigint, h bigint, label int, slots array<int>, word string, pair string, closed boolean, n bigint, ends bigint"
+_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+#: Labels of rows: a text as stored, one of the two lessons it gives (intact, cut), a word with its counts.
+STORED, INTACT, CUT, WORD = 0, 1, 2, 3
+
+
+def _last_words(low: str) -> Iterator[str]:
+    for line in low.split("\n"):
+        line = line.rstrip()
+        if line and line[-1].isalpha():
+            yield _LETTERS.findall(line.rsplit(None, 1)[-1])[-1]
+
+
+def _lessons(text: str, h: int, kind: str | None, chars: list[int], octets: list[int], everywhere: list[tuple[str, int]]) -> Iterator[tuple]:
+    """The text as if it were intact, and cut: at any place, or at a limit in characters or bytes that some source has."""
+    rng = np.random.default_rng(abs(h) % (1 << 31))
+    # an intact text may have a limit's length by chance
+    chance = rng.random() < 0.06
+    size = len(text.encode())
+    f, *more = describe(text, kind, [len(text)] if chance else [x for x in chars if x != len(text)], [x for x in octets if not x - 3 <= size <= x])
+    yield INTACT, f, more
+    if len(text) <= 40:
+        return
+    at = int(rng.integers(max(20, len(text) // 12), len(text)))
+    part, as_chars, as_octets = text[:at], [], []
+    fits = [(u, x) for u, x in everywhere if x < (len(text) if u == "chars" else size)]
+    if fits and rng.random() < 0.6:
+        unit, x = fits[int(rng.integers(len(fits)))]
+        if unit == "chars":
+            mark = "" if rng.random() >= 0.2 else "..." if rng.random() < 0.6 else "…"
+            part, as_chars = text[: x - len(mark)] + mark, [x]
+        else:
+            part, as_octets = text.encode()[:x].decode(errors="ignore"), [x]
+    if part.strip():
+        f, *more = describe(part, kind, as_chars, as_octets)
+        yield CUT, f, more
+
+
+def _read(docs: DataFrame, share: int, everywhere: list[tuple[str, int]]) -> DataFrame:
+    """In one pass over the texts: the features of each, the lessons of some, and how often each word occurs and ends a line."""
+    shared = docs.sparkSession.sparkContext.broadcast(everywhere)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[str] = Counter()
         ends: Counter[str] = Counter()
 
-        def flush() -> pa.RecordBatch:
-            words = list(n)
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([n[w] for w in words], pa.int64()), pa.array([ends[w] for w in words], pa.int64())], ["word", "n", "ends"])
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [[]] * len(_TYPES)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], ["doc_id", "h", "label", "slots", "word", "pair", "closed", "n", "ends"])
+
+        def counted() -> pa.RecordBatch:
+            out = batch([(None, None, WORD, None, w, None, None, c, ends[w]) for w, c in n.items()])
             n.clear()
             ends.clear()
             return out
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                low = text.lower()
-                n.update(_LETTERS.findall(low))
-                ends.update(re.findall(r"([^\W\d_]+)[ \t\r]*(?:\n|\Z)", low))
-            if len(n) > 300_000:
-                yield flush()
-        yield flush()
-
-    return docs.select("text").mapInArrow(run, "word string, n bigint, ends bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
-
-
-SCHEMA = "doc_id bigint, h bigint, label int, slots array<int>, word string"
-
-
-def _describe(docs: DataFrame, cut: bool) -> DataFrame:
-    """The features of the texts as stored; with cut, also of a text cut from each of those that are long enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for doc, h, text, kind, chars, octets, alien, common in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                chars, octets = chars or [], octets or []
-                if not cut:
-                    f, w = describe(text, kind, chars, octets, common)
-                    out.append((doc, h, 0, _slots(f), w))
-                    continue
-                rng = np.random.default_rng(abs(h) % (1 << 31))
-                # an intact text may have a limit's length by chance
-                f, w = describe(text, kind, [len(text)] if rng.random() < 0.06 else [x for x in chars if x != len(text)], [], common)
-                out.append((doc, h, 0, _slots(f), w))
-                if len(text) > 40:
-                    use, mark = [], ""
-                    at = int(rng.integers(max(20, len(text) // 12), len(text)))
-                    fits = [x for x in alien or [] if x < len(text)]
-                    if fits and rng.random() < 0.6:
-                        at = int(rng.choice(fits))
-                        use = [at]
-                        if rng.random() < 0.2:
-                            mark = "..." if rng.random() < 0.6 else "…"
-                    part = text[: at - len(mark)] + mark
-                    if part.strip():
-                        f, w = describe(part, kind, use, [])
-                        out.append((doc, h, 1, _slots(f), w))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "h", "label", "slots", "word"])
-
-    return docs.select("doc_id", "h", "text", "doc_kind", "chars", "octets", "alien", "common").mapInArrow(run, SCHEMA)
+            for k in range(0, b.num_rows, 1024):
+                out: list[tuple] = []
+                for doc, h, text, kind, chars, octets, taught in zip(*[c.to_pylist() for c in b.slice(k, 1024).columns], strict=True):
+                    chars, octets = chars or [], octets or []
+                    f, word, pair, closed = describe(text, kind, chars, octets)
+                    out.append((doc, h, STORED, _slots(f), word, pair, closed, None, None))
+                    if taught:
+                        out += [(doc, h, label, _slots(f), *more, None, None) for label, f, more in _lessons(text, h, kind, chars, octets, shared.value)]
+                    low = text.lower()
+                    n.update(_LETTERS.findall(low))
+                    ends.update(_last_words(low))
+                yield batch(out)
+                if len(n) > 300_000:
+                    yield counted()
+        yield counted()
+
+    taught = F.pmod(F.xxhash64("h", F.lit(7)), F.lit(1_000_000)) < share
+    return docs.select("doc_id", "h", "text", "doc_kind", "chars", "octets", taught.alias("taught")).mapInArrow(run, SCHEMA)
 
 
 def fit(slots: list[list[int]], labels: np.ndarray, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -247,58 +288,71 @@ def score(w: np.ndarray, slots: list[list[int]]) -> list[float]:
     return [float(1 / (1 + np.exp(-min(30.0, max(-30.0, w[s].sum() + w[SLOTS]))))) for s in slots]
 
 
-def _with_words(described: DataFrame, words: DataFrame) -> DataFrame:
-    joined = described.withColumn("lower", F.rtrim("word")).join(words.withColumnRenamed("word", "lower"), "lower", "left")
+#: Different texts that must end in the same two words for these to count as a way to end.
+ALIKE = 8
+
+
+def _with_words(rows: DataFrame, words: DataFrame, pairs: DataFrame, spread: DataFrame) -> DataFrame:
+    """The rows with the features that the whole corpus gives: of their last words, and of texts that many sources have."""
+    # texts without words are many: they are put in behind the joins
+    lower = F.when(F.rtrim("word") != "", F.rtrim("word"))
+    joined = rows.drop("n", "ends").withColumn("lower", lower).withColumn("pair", F.when(F.col("pair") != "", F.col("pair")))
+    joined = joined.join(words.select(F.col("word").alias("lower"), "n", "ends"), "lower", "left").join(pairs, "pair", "left").join(spread, "h", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            slots = [s + _slots(_word_features(n, e, w.endswith(" "))) for s, w, n, e in zip(*[b.column(i).to_pylist() for i in (3, 4, 5, 6)], strict=True)]
+            slots = [s + _slots(_word_features(n, e, w.endswith(" "), bool(c), bool(z), k)) for s, w, n, e, c, z, k in zip(*[b.column(i).to_pylist() for i in range(3, 10)], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(slots, pa.list_(pa.int32()))], ["doc_id", "h", "label", "slots"])
 
-    return joined.select("doc_id", "h", "label", "slots", "word", "n", "ends").mapInArrow(run, "doc_id bigint, h bigint, label int, slots array<int>")
+    return joined.select("doc_id", "h", "label", "slots", "word", "n", "ends", "common", "closed", "alike").mapInArrow(run, "doc_id bigint, h bigint, label int, slots array<int>")
 
 
 def scored(df: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, source and score, the probability that the stored text was cut off.
 
     df has doc_id, text, source and doc_kind; others are not read. Null, empty and blank texts have
-    score 0; copies of a text have the highest score of any; a null source has no limits, a null
-    doc_kind is one of its own; repeated rows are scored each for itself. Without any text that can be
-    cut nothing is taken for cut. sample: texts on which the classifier is fitted.
+    score 0; copies of a text have the highest score of any; a text that SURELY sources or more have in
+    this very form has score 0; a null source has no limits, a null doc_kind is one of its own; repeated
+    rows are scored each for itself. Without any text that can be cut nothing is taken for cut. sample:
+    texts on which the classifier is fitted. The texts are read twice: for their lengths, and for all else.
     """
     docs = df.select(F.col("doc_id").cast("bigint"), "text", "source", "doc_kind")
-    full = docs.where(F.col("text").rlike(r"[^\s\u0085  -​    　﻿]")).withColumn("h", F.xxhash64("text"))
-    spark = df.sparkSession
-    piled = written(limits(full))
-    words = vocabulary(full)
-    alien = sorted({x for r in piled.select(F.explode("chars").alias("x")).groupBy("x").count().orderBy(F.desc("count"), "x").limit(100).collect() for x in [r["x"]]})
-    spread = full.select("h", "source").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= COMMON).select("h", F.lit(True).alias("common"))
-    whole = full.join(piled, "source", "left").join(spread, "h", "left").withColumn("common", F.coalesce("common", F.lit(False))).withColumn("alien", F.array(*[F.lit(x).cast("int") for x in alien]) if alien else F.array().cast("array<int>"))
-    total = full.count()
-    share = min(1_000_000, int(1_500_000 * sample / max(1, total)) + 1)
-    some = whole.where(F.pmod(F.xxhash64("h", F.lit(7)), F.lit(1_000_000)) < share).dropDuplicates(["h"]).limit(sample)
-    described, lessons = written(_describe(whole, False)), written(_describe(some, True))
-    words = written(words.join(described.select(F.rtrim("word").alias("word")).union(lessons.select(F.rtrim("word").alias("word"))).distinct(), "word", "left_semi"))
-    taught = _with_words(lessons, words).orderBy("h", "doc_id", "label").toArrow()
-    slots, labels, marks = taught.column("slots").to_pylist(), np.asarray(taught.column("label")), np.asarray(taught.column("h"))
+    full = F.coalesce(F.col("text").rlike(NOT_BLANK), F.lit(False))
+    lengths = written(docs.select("doc_id", "source", F.length("text").alias("n"), F.octet_length("text").alias("b"), F.when(full, F.xxhash64("text")).alias("h")))
+    there = lengths.where("h is not null")
+    piled = written(limits(there))
+    everywhere = [tuple(r) for r in piled.select(F.lit("chars"), F.explode("chars")).union(piled.select(F.lit("octets"), F.explode("octets"))).distinct().orderBy("chars", "col").collect()]
+    sources = written(there.select("h", "source").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= COMMON))
+    spread = sources.select("h", F.lit(True).alias("common"))
+    total = there.select("h").distinct().count()
+    share = min(1_000_000, int(1_000_000 * sample / max(1, total)) + 1)
+    rows = written(_read(docs.where(full).withColumn("h", F.xxhash64("text")).join(piled, "source", "left"), share, everywhere))
+    stored, lessons = rows.where(F.col("label") == STORED), rows.where(F.col("label").isin(INTACT, CUT)).dropDuplicates(["h", "label"])
+    asked = rows.where(F.col("label") != WORD).select(F.rtrim("word").alias("word")).where("word <> ''").distinct()
+    words = written(rows.where(F.col("label") == WORD).groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).join(asked, "word", "left_semi"))
+    # two words that end many different texts, and most of those that have the second word at their end
+    endings = stored.where("pair <> ''").groupBy("pair", F.rtrim("word").alias("last")).agg(F.approx_count_distinct("h", 0.02).alias("alike"))
+    most = endings.groupBy("last").agg(F.sum("alike").alias("all"))
+    pairs = written(endings.where(F.col("alike") >= ALIKE).join(most, "last").where(F.col("alike") * 2 >= F.col("all")).select("pair", "alike"))
+    taught = _with_words(lessons, words, pairs, spread).orderBy("h", "label").limit(3 * sample).toArrow()
+    slots, labels, marks = taught.column("slots").to_pylist(), (np.asarray(taught.column("label")) == CUT).astype(np.int64), np.asarray(taught.column("h"))
     w = np.zeros(SLOTS + 2)
     w[SLOTS] = -30
     if len(slots) and labels.any():
         w = fit(slots, labels)
-        doubtful = {int(h) for h, s, y in zip(marks, score(w, slots), labels, strict=True) if not y and s > 0.5}
+        natural = {zlib.crc32(f"like{k}".encode()) % SLOTS for k in range(1, 5)}
+        doubtful = {int(h) for h, x, s, y in zip(marks, slots, score(w, slots), labels, strict=True) if not y and s > 0.5 and natural.isdisjoint(x)}
         keep = np.array([int(h) not in doubtful for h in marks])  # neither the text nor what was cut from it
         w = fit([s for s, k in zip(slots, keep, strict=True) if k], labels[keep])
-    weights = spark.sparkContext.broadcast(w.astype(np.float32))
+    weights = df.sparkSession.sparkContext.broadcast(w.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score(weights.value, b.column(3).to_pylist()), pa.float64())], ["doc_id", "h", "score"])
 
-    each = _with_words(described, words).mapInArrow(run, "doc_id bigint, h bigint, score double")
-    best = each.groupBy("h").agg(F.max("score").alias("score"))
-    judged = full.select("doc_id", "source", "h").join(best, "h").select("doc_id", "source", "score")
-    blank = docs.where(~F.coalesce(F.col("text").rlike(r"[^\s\u0085  -​    　﻿]"), F.lit(False))).select("doc_id", "source", F.lit(0.0).alias("score"))
-    return judged.unionByName(blank)
+    each = _with_words(stored, words, pairs, spread).mapInArrow(run, "doc_id bigint, h bigint, score double")
+    best = each.groupBy("h").agg(F.max("score").alias("score")).join(sources.where(F.col("m") >= SURELY).select("h"), "h", "left_anti")
+    return lengths.join(best, "h", "left").select("doc_id", "source", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def rates(of: DataFrame, sure: float = 0.5) -> DataFrame:

@@ -601,7 +601,8 @@ def test_truncated_rows(spark):
     found = {i for i, s in of.items() if s >= 0.5}
     cut |= {5004}
     assert 5004 in found and len(found & cut) / len(cut) > 0.8 and len(found & cut) / len(found) > 0.9
-    assert got(truncation.limits(df.where("text is not null and text <> ''")).where("source = 'short'").select(F.array_contains("chars", 240))) == [(True,)]
+    lengths = df.where("text is not null and text <> ''").select("source", F.length("text").alias("n"), F.octet_length("text").alias("b"), F.xxhash64("text").alias("h"))
+    assert got(truncation.limits(lengths).where("source = 'short'").select(F.array_contains("chars", 240))) == [(True,)]
     rates = {r["source"]: r["rate"] for r in truncation.rates(out).collect()}
     assert rates["short"] > max(rates[f"s{k}"] for k in range(4))
     assert truncation.scored(df.limit(0)).isEmpty()
