@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -175,6 +176,7 @@ TAGGED = (
     ("K8S_SECRET", r"(?i)(data:\s*\n(?:\s+[a-zA-Z0-9_.-]+:\s*[A-Za-z0-9+/]{16,}={0,2}\s*\n?)+)"),
     ("TERRAFORM_SECRET", r"(?i)(variable\s+\"[^\"]*(?:password|secret|key|token)[^\"]*\"\s*\{[^}]*default\s*=\s*\")([^\"]+)(\")"),
 )
+# Passwords in URLs, keys by their names, and headers.
 CONNECTION = r"(:\/\/[^:]+:)([^@\s]{4,})(@)"
 API_KEYS = r"(?i)((api[_-]?key|apikey|secret[_-]?key|secretkey|access[_-]?token|bearer[_-]?token|auth[_-]?token|private[_-]?key|client[_-]?secret|app[_-]?secret|consumer[_-]?key|consumer[_-]?secret|signing[_-]?key|encryption[_-]?key|master[_-]?key|service[_-]?key|webhook[_-]?secret|shared[_-]?secret)\s*[:=]\s*['\"]?)([a-zA-Z0-9_\-\.]{16,})(['\"]?)"
 BEARER = r"(?i)(Authorization\s*[:=]\s*Bearer\s+)([a-zA-Z0-9_\-\.]+)"
@@ -206,6 +208,26 @@ def _tried(hint: str | list[str], pattern: str, tag: str) -> Callable[[Column],
     return step
 
 
+def _steps(bounded: bool) -> list[tuple[str | list[str], str, str]]:
+    steps: list[tuple[str | list[str], str, str]] = [(["://"], CONNECTION, "$1<CONNECTION_PASSWORD>$3")]
+    steps += [(HINTS[tag], p if bounded else ascii_bounds(p), f"<{tag}>") for tag, p in TAGGED]
+    return steps + [(["key", "token", "secret"], API_KEYS, "$1<API_KEY>$4"), (["authorization"], BEARER, "$1<BEARER_TOKEN>"), (["authorization"], BASIC, "$1<BASIC_AUTH>")]
+
+
+def redacted(df: DataFrame, column: str, bounded: bool = True) -> DataFrame:
+    """df with a column of texts redacted, as by redact, which is for a single expression.
+
+    Each step is a projection of its own, so that it names the text once and is compiled with the
+    others into one stage; a null text stays null. Texts without a hint of any step pass them all by.
+    """
+    first, low, now = (F.col(f"__{x}") for x in ("first", "low", "now"))
+    out = df.withColumns({"__first": F.col(column), "__now": F.col(column), "__low": F.lower(column)})
+    for hint, pattern, tag in _steps(bounded):
+        there = first.rlike(hint) if isinstance(hint, str) else reduce(lambda a, b: a | b, [F.contains(low, F.lit(h)) for h in hint])
+        out = out.withColumn("__now", F.when(there, F.regexp_replace(now, pattern, tag)).otherwise(now))
+    return out.withColumn(column, now).drop("__first", "__low", "__now")
+
+
 def redact(text: Column, bounded: bool = True) -> Column:
     """Passwords in URLs, then the tagged patterns in their order, then keys by their names, then headers.
 
@@ -213,12 +235,9 @@ def redact(text: Column, bounded: bool = True) -> Column:
     the JVM; without it they are those of ASCII text, for comparison with other engines. A pattern
     is tried only on texts that hold its hint.
     """
-    steps = [(["://"], CONNECTION, "$1<CONNECTION_PASSWORD>$3")]
-    steps += [(HINTS[tag], p if bounded else ascii_bounds(p), f"<{tag}>") for tag, p in TAGGED]
-    steps += [(["key", "token", "secret"], API_KEYS, "$1<API_KEY>$4"), (["authorization"], BEARER, "$1<BEARER_TOKEN>"), (["authorization"], BASIC, "$1<BASIC_AUTH>")]
     # one array element carries the text, so that each step names it once and plans stay small
     state = F.array(F.struct(text.alias("now"), text.alias("first"), F.lower(text).alias("low")))
-    for hint, pattern, tag in steps:
+    for hint, pattern, tag in _steps(bounded):
         state = F.transform(state, _tried(hint, pattern, tag))
     return state[0]["now"]
 

@@ -105,6 +105,29 @@ def symbol_chunks(files: DataFrame, symbols: DataFrame, most: int = 2048, fewest
     return all_.select(*key, "symbol_name", "symbol_type", "start_line", "end_line", F.substring(F.sha2("text", 256), 1, 16).alias("chunk_hash"), F.when(F.length(whole) <= most, whole).otherwise(F.col("text")).alias("chunk_text"))
 
 
+def gaps(files: DataFrame, text: str, spans: DataFrame, key: Sequence[str]) -> DataFrame:
+    """key, start_line, end_line and text of the ranges of lines of each file that no span covers.
+
+    A file stays one row: its spans, in order, are folded into the ranges between them, and these
+    are cut from its lines. A null text has no lines; files of one key are taken each for itself.
+    """
+    span = F.struct(F.col("start_line").cast("int").alias("a"), F.col("end_line").cast("int").alias("z"))
+    of = spans.groupBy(*key).agg(F.array_sort(F.collect_set(span)).alias("spans"))
+    lines = F.split(text, "\n")
+    n = F.size("lines")
+    rows = files.where(F.col(text).isNotNull()).join(of, list(key), "left").select(*key, lines.alias("lines"), F.coalesce("spans", F.array().cast("array<struct<a:int,z:int>>")).alias("spans"))
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<a:int,z:int>>").alias("free"))
+    between = lambda acc, x: F.array(F.struct(acc["next"].alias("a"), F.least(x["a"] - 1, n).alias("z")))
+
+    def step(acc, x):  # type: ignore[no-untyped-def]
+        free = F.when((x["a"] > acc["next"]) & (acc["next"] <= n), F.concat(acc["free"], between(acc, x))).otherwise(acc["free"])
+        return F.struct(F.greatest(acc["next"], x["z"] + 1).alias("next"), free.alias("free"))
+
+    done = F.aggregate(F.concat("spans", F.array(F.struct((n + 1).alias("a"), n.alias("z")))), start, step)
+    free = rows.select(*key, "lines", F.explode(done["free"]).alias("r"))
+    return free.select(*key, F.col("r.a").alias("start_line"), F.col("r.z").alias("end_line"), F.array_join(F.slice("lines", F.col("r.a"), F.col("r.z") - F.col("r.a") + 1), "\n").alias("text"))
+
+
 def uncovered(lines: DataFrame, spans: DataFrame, key: Sequence[str]) -> DataFrame:
     """Ranges of lines (key, line_no, line and others) that no span covers, with their text: gaps and islands."""
     covered = lines.join(spans.select(*key, "start_line", "end_line"), list(key)).where("line_no between start_line and end_line").select(*key, "line_no").distinct()

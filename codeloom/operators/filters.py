@@ -10,10 +10,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What is admitted to an index, and what is not.
-EXTENSIONS = ".py .pyi .js .jsx .ts .tsx .mjs .cjs .java .kt .scala .go .rs .c .h .cpp .hpp .cc .cs .rb .php .swift .sh .sql .md .yaml .yml .json .toml .tf .html .css .xml".split()
-FILE_NAMES = "Makefile Dockerfile Jenkinsfile Gemfile Rakefile Vagrantfile Procfile Brewfile .gitignore .dockerignore .editorconfig".split()
-IGNORED_PARTS = ".pyc .pyo .pyd .so .dll .dylib .o .a .lib .obj .exe .class .jar .war .ear .nupkg .egg-info .egg .whl .map .js.map .css.map .min.js .min.css .bundle.js package-lock.json yarn.lock pnpm-lock.yaml Pipfile.lock poetry.lock Gemfile.lock composer.lock Cargo.lock go.sum packages.lock.json .db .sqlite .sqlite3 .DS_Store Thumbs.db .log .zip .tar .gz .bz2 .rar .7z".split()
-IGNORED_DIRS = "node_modules __pycache__ venv env dist build target out vendor site-packages generated migrations __snapshots__ __mocks__ __fixtures__ coverage".split()
+EXTENSIONS = [
+    ".py", ".pyi", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".vue", ".svelte", ".go", ".rs", ".java", ".kt", ".kts", ".scala", ".groovy", ".gradle", ".c", ".cpp",
+    ".cc", ".cxx", ".h", ".hpp", ".hxx", ".cs", ".csx", ".fs", ".fsx", ".vb", ".vbs", ".rb", ".php", ".swift", ".m", ".mm", ".dart", ".ex", ".exs", ".erl", ".hs", ".lua",
+    ".pl", ".pm", ".r", ".R", ".zig", ".v", ".clj", ".cljs", ".nim", ".cr", ".jl", ".ml", ".mli", ".html", ".htm", ".jsp", ".jspx", ".aspx", ".cshtml", ".razor", ".css",
+    ".scss", ".sass", ".less", ".graphql", ".gql", ".sql", ".proto", ".md", ".rst", ".txt", ".yaml", ".yml", ".json", ".toml", ".xml", ".ini", ".cfg", ".env",
+    ".properties", ".sh", ".bash", ".zsh", ".ps1", ".bat", ".cmd", ".tf", ".hcl", ".dockerfile",
+]
+IGNORED_DIRS = [
+    ".git", ".svn", ".hg", ".bzr", "__pycache__", ".venv", "venv", "env", ".env", ".eggs", ".tox", ".nox", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".pytype",
+    "site-packages", "node_modules", ".next", ".nuxt", ".output", ".turbo", "bower_components", ".parcel-cache", ".cache", "target", ".gradle", ".mvn", "bin", "obj",
+    "packages", ".vs", "vendor", "build", "dist", "out", "output", "_build", "cmake-build-debug", "cmake-build-release", ".idea", ".vscode", ".eclipse", ".settings",
+    ".project", "coverage", "htmlcov", ".nyc_output", "_site", "site", ".docusaurus", ".terraform", ".serverless", "generated", "auto-generated", ".generated",
+    "migrations", "__snapshots__", "__mocks__", "__fixtures__",
+]
+IGNORED_PARTS = [
+    ".pyc", ".pyo", ".pyd", ".so", ".dll", ".dylib", ".o", ".a", ".lib", ".obj", ".exe", ".class", ".jar", ".war", ".ear", ".nupkg", ".egg-info", ".egg", ".whl", ".map",
+    ".js.map", ".css.map", ".min.js", ".min.css", ".bundle.js", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Pipfile.lock", "poetry.lock", "Gemfile.lock",
+    "composer.lock", "Cargo.lock", "go.sum", "packages.lock.json", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".webp", ".mp3", ".mp4", ".woff", ".woff2", ".ttf",
+    ".eot", ".zip", ".tar", ".gz", ".bz2", ".rar", ".7z", ".db", ".sqlite", ".sqlite3", ".DS_Store", "Thumbs.db", ".log",
+]
+FILE_NAMES = [
+    "Makefile", "Dockerfile", "Jenkinsfile", "Gemfile", "Rakefile", "Vagrantfile", "Procfile", "Brewfile", ".gitignore", ".dockerignore", ".editorconfig",
+]
 SENSITIVE = (
     r"(?i)(^|/)\.(env|envrc)(\.|$)", r"(?i)\.(pem|key|p12|pfx|cert|crt|der|p8)$", r"(?i)(credential|secret|passwd|password|token|private_key)",
     r"(id_rsa|id_dsa|id_ecdsa|id_ed25519)(\.pub)?$", r"(?i)(\.netrc|\.pgpass|\.htpasswd)$", r"(?i)(aws_credentials|gcloud_credentials|service.account)",

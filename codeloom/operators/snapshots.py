@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -42,8 +45,25 @@ def unseen(new: DataFrame, stored: DataFrame, key: Sequence[str] = ("repo_id", "
 
 
 def changed_lines(old: DataFrame, new: DataFrame, key: Sequence[str], text: str) -> DataFrame:
-    """key, start_line and end_line of the runs of lines of new that differ from the line of that number in old."""
-    side = lambda df, name: df.select(*key, F.posexplode(F.split(text, "\n")).alias("pos", name))
-    both = side(new, "b").join(side(old, "a"), [*key, "pos"], "left").where(~F.col("a").eqNullSafe(F.col("b")))
-    island = F.col("pos") - F.row_number().over(Window.partitionBy(*key).orderBy("pos"))
-    return both.withColumn("island", island).groupBy(*key, "island").agg((F.min("pos") + 1).alias("start_line"), (F.max("pos") + 1).alias("end_line")).drop("island")
+    """key, start_line and end_line of the ranges of lines of new that are not in old, by a diff of each file; keys are unique in each snapshot.
+
+    A file that is not in old is one range; where lines were only removed, the range is the line before
+    (the first, at the beginning). Null texts are empty, equal ones have no ranges.
+    """
+    both = new.select(*key, F.col(text).alias("b")).join(old.select(*key, F.col(text).alias("a")), list(key), "left")
+    differing = both.where(~F.coalesce("a", F.lit("")).eqNullSafe(F.coalesce("b", F.lit(""))))
+    schema = T.StructType([*[new.schema[k] for k in key], T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType())])
+
+    def run(batches):  # type: ignore[no-untyped-def]
+        for b in batches:
+            rows, starts, ends = [], [], []
+            for i, (fresh, before) in enumerate(zip(b.column(len(key)).to_pylist(), b.column(len(key) + 1).to_pylist(), strict=True)):
+                lines = (fresh or "").split("\n")
+                for tag, _, _, j1, j2 in SequenceMatcher(None, (before or "").split("\n") if before is not None else [], lines, autojunk=False).get_opcodes():
+                    if tag != "equal":
+                        rows.append(i)
+                        starts.append(max(1, j1 + (j2 > j1)))
+                        ends.append(max(1, j2))
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(rows, pa.int64())) for c in b.columns[: len(key)]], pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=schema.names)
+
+    return differing.select(*key, "b", "a").mapInArrow(run, schema)

@@ -56,16 +56,18 @@ def best_per_key(hits: DataFrame, key: str, score: str, order: Sequence[str]) ->
     return hits.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
 
 
-def in_files(hits: DataFrame, candidates: DataFrame, path: str = "file_path") -> DataFrame:
-    """The hits whose path ends with the path of a candidate file, at a directory's border.
+def in_files(hits: DataFrame, candidates: DataFrame, path: str = "file_path", scope: str = "repo_id") -> DataFrame:
+    """The hits whose path ends with the path of a candidate file of the same repository, at a directory's border.
 
-    Every suffix of a hit's path is looked up, so that the join is on equality.
+    Candidates without a column scope stand for files of any repository. Every suffix of a hit's path
+    is looked up, so that the join is on equality.
     """
+    same = [scope] if scope in candidates.columns else []
     parts = F.split(path, "/")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-    wanted = candidates.select(F.col(path).alias("tail")).distinct()
-    paths = hits.select(path).where(F.col(path).isNotNull()).distinct().select(path, F.explode(tails).alias("tail"))
-    return hits.join(paths.join(wanted, "tail", "left_semi").select(path).distinct(), path, "left_semi").select(*hits.columns)
+    wanted = candidates.select(*same, F.col(path).alias("tail")).distinct()
+    paths = hits.select(*same, path).where(F.col(path).isNotNull()).distinct().select(*same, path, F.explode(tails).alias("tail"))
+    return hits.join(paths.join(wanted, [*same, "tail"], "left_semi").select(*same, path).distinct(), [*same, path], "left_semi").select(*hits.columns)
 
 
 def embed(texts: Column, width: int = 64) -> Column:

@@ -226,7 +226,7 @@ ORACLE = {
     "q_cohesion": f"""
         with {_G}, p as (select distinct least(u, v) as u, greatest(u, v) as v from g), i as (select a.p_brand as community, count(*) as n_edges from p join part a on a.p_partkey = u join part b on b.p_partkey = v where a.p_brand = b.p_brand group by 1),
         z as (select p_brand as community, count(*) as n_nodes from part group by 1)
-        select community, n_nodes, coalesce(n_edges, 0) as n_edges, case when n_nodes <= 1 then 1.0::double else round(coalesce(n_edges, 0) * 2.0::double / (n_nodes * (n_nodes - 1)), 4) end as cohesion from z left join i using (community)""",
+        select community, n_nodes, coalesce(n_edges, 0) as n_edges, case when n_nodes <= 1 then 1.0::double else round(coalesce(n_edges, 0) * 2.0::double / (n_nodes * (n_nodes - 1)), 2) end as cohesion from z left join i using (community)""",
     "q_inter_community": f"with {_G} select least(a.p_brand, b.p_brand) as a, greatest(a.p_brand, b.p_brand) as b, count(*) as n_edges from g join part a on a.p_partkey = u join part b on b.p_partkey = v where a.p_brand <> b.p_brand group by 1, 2",
     "q_community_reach": f"with {_G}, b as (select u, v from g union select v, u from g) select u as node, a.p_brand as community, count(distinct c.p_brand) as reach from b join part a on a.p_partkey = u join part c on c.p_partkey = v where a.p_brand <> c.p_brand group by 1, 2",
     "q_surprise": f"""

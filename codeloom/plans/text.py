@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.operators import chunking, filters, metadata
-from codeloom.storage import table
+from codeloom.storage import spread, table
 
 TERMS = [["token", "budget"], ["read", "fewer", "blocks"]]
 
@@ -76,13 +76,14 @@ def q_paper_signs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_redact(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").where("text is not null")
-    return t.select("doc_id", F.sha2(T.redact(F.col("text"), bounded=False), 256).alias("digest"))
+    t = spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text"))
+    return T.redacted(t, "text", bounded=False).select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
 def q_redact_chunks(spark: SparkSession, d: str) -> DataFrame:
     """How many tags of each kind the redaction of all chunks leaves."""
-    c = table(spark, d, "code_chunks").where("chunk_text is not null").select(F.explode(F.regexp_extract_all(T.redact(F.col("chunk_text"), bounded=False), F.lit(r"<([A-Z0-9_]{3,})>"), 1)).alias("tag"))
+    t = spread(table(spark, d, "code_chunks").where("chunk_text is not null").select("chunk_text"))
+    c = T.redacted(t, "chunk_text", bounded=False).select(F.explode(F.regexp_extract_all("chunk_text", F.lit(r"<([A-Z0-9_]{3,})>"), 1)).alias("tag"))
     return c.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -128,9 +129,8 @@ def q_outline(spark: SparkSession, d: str) -> DataFrame:
 def q_uncovered(spark: SparkSession, d: str) -> DataFrame:
     """Ranges of lines of each file that no known symbol covers."""
     files = table(spark, d, "source_files").select("repo_id", "file_path", "content").distinct()
-    lines = files.select("repo_id", "file_path", F.posexplode(F.split("content", "\n")).alias("pos", "line")).select("repo_id", "file_path", (F.col("pos") + 1).alias("line_no"), "line")
     spans = table(spark, d, "symbols").where("start_line >= 1").select("repo_id", "file_path", "start_line", "end_line").distinct()
-    return chunking.uncovered(lines, spans, ["repo_id", "file_path"]).select("repo_id", "file_path", "start_line", "end_line")
+    return chunking.gaps(files, "content", spans, ["repo_id", "file_path"]).select("repo_id", "file_path", "start_line", "end_line")
 
 
 def q_keyword_score(spark: SparkSession, d: str) -> DataFrame:
@@ -179,6 +179,30 @@ _DIRS = "string_split(regexp_replace(file_path, '/?[^/]*$', ''), '/')"
 _IGNORED = [filters.glob_regex(p) for p in ("tests", "*.json", "units/*")]
 _SPOTS = "list_concat(string_split(file_path, '/'), list_transform(range(1, len(string_split(file_path, '/')) + 1), lambda i: array_to_string(string_split(file_path, '/')[1:i], '/')))"
 _LANG = "case {0} " + " ".join(f"when '.{e}' then '{x}'" for e, x in filters.LANGUAGES.items()) + " end"
+# Fixed values, stated again so that the SQL does not follow the operators.
+_SQL_EXTENSIONS = (
+    "('.py', '.pyi', '.js', '.jsx', '.ts', '.tsx', '.mjs', '.cjs', '.vue', '.svelte', '.go', '.rs', '.java', '.kt', '.kts', '.scala', '.groovy', '.gradle', '.c', "
+    "'.cpp', '.cc', '.cxx', '.h', '.hpp', '.hxx', '.cs', '.csx', '.fs', '.fsx', '.vb', '.vbs', '.rb', '.php', '.swift', '.m', '.mm', '.dart', '.ex', '.exs', '.erl', "
+    "'.hs', '.lua', '.pl', '.pm', '.r', '.R', '.zig', '.v', '.clj', '.cljs', '.nim', '.cr', '.jl', '.ml', '.mli', '.html', '.htm', '.jsp', '.jspx', '.aspx', "
+    "'.cshtml', '.razor', '.css', '.scss', '.sass', '.less', '.graphql', '.gql', '.sql', '.proto', '.md', '.rst', '.txt', '.yaml', '.yml', '.json', '.toml', '.xml', "
+    "'.ini', '.cfg', '.env', '.properties', '.sh', '.bash', '.zsh', '.ps1', '.bat', '.cmd', '.tf', '.hcl', '.dockerfile')"
+)
+_SQL_FILE_NAMES = (
+    "('Makefile', 'Dockerfile', 'Jenkinsfile', 'Gemfile', 'Rakefile', 'Vagrantfile', 'Procfile', 'Brewfile', '.gitignore', '.dockerignore', '.editorconfig')"
+)
+_SQL_DIRS = (
+    "('.git', '.svn', '.hg', '.bzr', '__pycache__', '.venv', 'venv', 'env', '.env', '.eggs', '.tox', '.nox', '.pytest_cache', '.mypy_cache', '.ruff_cache', "
+    "'.pytype', 'site-packages', 'node_modules', '.next', '.nuxt', '.output', '.turbo', 'bower_components', '.parcel-cache', '.cache', 'target', '.gradle', '.mvn', "
+    "'bin', 'obj', 'packages', '.vs', 'vendor', 'build', 'dist', 'out', 'output', '_build', 'cmake-build-debug', 'cmake-build-release', '.idea', '.vscode', "
+    "'.eclipse', '.settings', '.project', 'coverage', 'htmlcov', '.nyc_output', '_site', 'site', '.docusaurus', '.terraform', '.serverless', 'generated', "
+    "'auto-generated', '.generated', 'migrations', '__snapshots__', '__mocks__', '__fixtures__')"
+)
+_SQL_PARTS = (
+    r"\.pyc|\.pyo|\.pyd|\.so|\.dll|\.dylib|\.o|\.a|\.lib|\.obj|\.exe|\.class|\.jar|\.war|\.ear|\.nupkg|\.egg-info|\.egg|\.whl|\.map|\.js\.map|\.css\.map|\.min\.js|"
+    r"\.min\.css|\.bundle\.js|package-lock\.json|yarn\.lock|pnpm-lock\.yaml|Pipfile\.lock|poetry\.lock|Gemfile\.lock|composer\.lock|Cargo\.lock|go\.sum|"
+    r"packages\.lock\.json|\.png|\.jpg|\.jpeg|\.gif|\.svg|\.ico|\.webp|\.mp3|\.mp4|\.woff|\.woff2|\.ttf|\.eot|\.zip|\.tar|\.gz|\.bz2|\.rar|\.7z|\.db|\.sqlite|"
+    r"\.sqlite3|\.DS_Store|Thumbs\.db|\.log"
+)
 _SHARES = "greatest(" + ", ".join("(" + " + ".join(f"contains(lower(text), '{w}')::int" for w in q) + f") / {len(q)}.0" for q in TERMS) + ")"
 ORACLE = {
     "q_char_windows": "with w as (select doc_id, text, unnest(range(0, length(text), 800)) as p from documents where length(text) > 0) select doc_id, (p // 800)::integer as chunk_no, left(sha256(substring(text, p + 1, 1000)), 16) as chunk_hash, length(substring(text, p + 1, 1000))::integer as n_chars from w",
@@ -207,8 +231,8 @@ ORACLE = {
     "q_admission": f"""
         with f as (select distinct repo_id, file_path, size_bytes from source_files)
         select repo_id, count(*) as n,
-            count(*) filter (({_EXT} in {_sql_in(filters.EXTENSIONS)} or {_NAME} in {_sql_in(filters.FILE_NAMES)}) and not ({' or '.join(f"contains({_NAME}, '{p}')" for p in filters.IGNORED_PARTS)}) and size_bytes <= 1048576
-                and len(list_filter({_DIRS}, lambda x: x in {_sql_in(filters.IGNORED_DIRS)} or (x like '.%' and x <> '.github'))) = 0) as n_admitted,
+            count(*) filter (({_EXT} in {_SQL_EXTENSIONS} or {_NAME} in {_SQL_FILE_NAMES}) and not regexp_matches({_NAME}, '{_SQL_PARTS}') and size_bytes <= 1048576
+                and len(list_filter({_DIRS}, lambda x: x in {_SQL_DIRS} or (x like '.%' and x <> '.github'))) = 0) as n_admitted,
             count(*) filter ({_SENSITIVE}) as n_sensitive,
             count(*) filter (len(list_filter({_SPOTS}, lambda x: {' or '.join(f"regexp_full_match(x, '{p}')" for p in _IGNORED)})) > 0) as n_ignored
         from f group by 1""",

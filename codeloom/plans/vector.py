@@ -72,9 +72,9 @@ ORACLE = {
         r as (select *, row_number() over (partition by label order by s desc, vec_id) as nth from h)
         select label, vec_id, round(s, 6) as score from r where nth = 1 order by s desc, label limit 5""",
     "q_hybrid_files": f"""
-        with f as (select distinct file_path from (select repo_id, file_path, bool_or(file_path like '%.go' or file_path like '%.java') as a, bool_or(coalesce(lower(symbol_type) in ('class', 'interface', 'struct') and contains(lower(symbol_name), 's'), false)) as b from symbols group by 1, 2) where a and b),
+        with f as (select distinct repo_id, file_path from (select repo_id, file_path, bool_or(file_path like '%.go' or file_path like '%.java') as a, bool_or(coalesce(lower(symbol_type) in ('class', 'interface', 'struct') and contains(lower(symbol_name), 's'), false)) as b from symbols group by 1, 2) where a and b),
         h as (select row_id, repo_id, file_path, start_line, embedding from code_chunks c where embedding is not null and len(embedding) = 64 and not list_bool_or(list_transform(embedding, lambda x: isnan(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))
-              and (exists (select 1 from f where f.file_path = c.file_path) or exists (select 1 from f where c.file_path like '%/' || f.file_path))),
+              and exists (select 1 from f where f.repo_id = c.repo_id and (f.file_path = c.file_path or ends_with(c.file_path, '/' || f.file_path)))),
         q as (select repo_id, file_path, arg_min(embedding, (start_line, row_id)) as embedding from h group by 1, 2)
         select e.row_id, round({_D}, 6) as score from h e join q using (repo_id, file_path)""",
 }

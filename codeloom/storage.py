@@ -15,26 +15,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the session names none, as in tests."""
+    """The folder in spark.checkpoint.dir, which all executors must share; a temporary one only where the session is local and names none, as in tests."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(named)
     return named
 
 
+_written: dict[int, list[str]] = {}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: this cuts the lineage, and survives the loss of executors.
 
-    The folder is removed when the driver ends.
+    The folder is removed by discard, by free, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/codeloom-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.setdefault(id(spark.sparkContext), []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._codeloom_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the folder of a table that written gave, once nothing that is still to run reads it, as between rounds."""
+    path = getattr(df, "_codeloom_path", None)
+    if path is not None:
+        _remove(df.sparkSession, path)
+        _written[id(df.sparkSession.sparkContext)].remove(path)
+
+
+def free(spark: SparkSession) -> int:
+    """Removes all tables that written has left in the shared folder, when the results that read them have been used; their number."""
+    paths = _written.pop(id(spark.sparkContext), [])
+    for path in paths:
+        _remove(spark, path)
+    return len(paths)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores where it comes from fewer files than there are, for costly narrow stages; many files are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def evolve(df: DataFrame, schema: T.StructType, defaults: dict[str, object] | None = None) -> DataFrame:
