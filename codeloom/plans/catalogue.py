@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from codeloom.plans import code, graph, relational, text, vector
+from codeloom.plans import code, graph, relational, shaping, text, vector
 
-_PARTS = (vector, relational, text, graph, code)
+_PARTS = (vector, relational, text, graph, code, shaping)
 QUERIES = {k: q for p in _PARTS for k, q in p.QUERIES.items()}
 ORACLE = {k: s for p in _PARTS for k, s in p.ORACLE.items()}
