@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import filters, symbols
+from codeloom.operators import extraction, filters, symbols
 from codeloom.storage import table
 
 
@@ -64,3 +64,50 @@ ORACLE = {
         select repo_id, case when {_LANG} = 'go' then case when regexp_matches(symbol_name, '^[A-Z]') then 'public' else 'private' end when symbol_name like '\\_\\_%' escape '\\' and symbol_name not like '%\\_\\_' escape '\\' then 'private'
             when symbol_name like '\\_%' escape '\\' then 'protected' else 'public' end as visibility, count(*) as n from s group by 1, 2""",
 }
+
+
+def _latest_files(spark: SparkSession, d: str) -> DataFrame:
+    """Each file once, as it was scanned last."""
+    f = table(spark, d, "source_files").where("content is not null")
+    return f.groupBy("repo_id", "file_path").agg(F.max_by("content", F.struct("scanned_at", "content_hash")).alias("content"))
+
+
+def q_extracted(spark: SparkSession, d: str) -> DataFrame:
+    s = extraction.symbols(_latest_files(spark, d))
+    return s.groupBy("language", "symbol_type").agg(F.count(F.lit(1)).alias("n"), F.count("parent_name").alias("n_inner"), F.sum(F.size("parameters")).alias("n_parameters"), F.sum(F.col("end_line") - F.col("start_line") + 1).alias("n_lines"))
+
+
+def q_extracted_known(spark: SparkSession, d: str) -> DataFrame:
+    """Of the symbols that the table of symbols has for a file: how many are extracted from it, by language of the file."""
+    s = extraction.symbols(_latest_files(spark, d)).select("repo_id", "file_path", "symbol_name", F.lit(1).alias("found")).distinct()
+    k = table(spark, d, "symbols").where("symbol_name is not null").select("repo_id", "file_path", F.element_at(F.split("symbol_name", r"\."), -1).alias("symbol_name")).distinct()
+    ending = F.lower(F.regexp_extract("file_path", r"\.([A-Za-z]+)$", 1))
+    return k.join(s, ["repo_id", "file_path", "symbol_name"], "left").groupBy(ending.alias("extension")).agg(F.count(F.lit(1)).alias("n_known"), F.count("found").alias("n_found"))
+
+
+def q_imported(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.imports(_latest_files(spark, d)).groupBy("language", "module").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("repo_id", "file_path").alias("n_files"))
+
+
+def q_called(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of functions by their names: how many, and from how many functions."""
+    c = extraction.calls(_latest_files(spark, d))
+    return c.groupBy("repo_id", "callee").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file_path", "caller").alias("n_callers"))
+
+
+def q_inherits(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.inheritance(extraction.symbols(_latest_files(spark, d)))
+
+
+def q_uses(spark: SparkSession, d: str) -> DataFrame:
+    f = _latest_files(spark, d)
+    return extraction.uses(extraction.symbols(f), extraction.imports(f))
+
+
+QUERIES |= {f.__name__: f for f in (q_extracted, q_extracted_known, q_imported, q_called, q_inherits, q_uses)}
+
+# every symbol that is known is extracted
+ORACLE |= {
+    "q_extracted_known": r"""select regexp_extract(lower(file_path), '\.([a-z]+)$', 1) as extension, count(*) as n_known, count(*) as n_found
+        from (select distinct repo_id, file_path, string_split(symbol_name, '.')[-1] as symbol_name from symbols where symbol_name is not null) group by 1"""
+}
