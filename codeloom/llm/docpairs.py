@@ -1,6 +1,6 @@
 """Problem 1: functions paired with their documentation.
 
-The state machines of lexing.py tell strings and comments, which are blanked, so that declarations are found in what is
+The state machines of functions.lexing tell strings and comments, which are blanked, so that declarations are found in what is
 left, braces can be matched to delimit bodies, and a comment is known by its place. The comment
 that stands directly before a declaration (or before its annotations), or the docstring of Python,
 is its documentation; it is dropped if it says nothing.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.lexing import LEXERS
+from codeloom.functions.lexing import LEXERS, blanked
 from codeloom.llm.parsing import LANGUAGES, Verdicts, extension, fault
 
 
@@ -34,7 +34,6 @@ class Pair(NamedTuple):
 
 # --------------------------------------------------------------------------- lexing
 
-_NOT_LINE_END = re.compile(r"[^\n]")
 _NEXT = re.compile(r"[ \t\r]*\n?[ \t]*")
 _BLANKS = re.compile(r"\s*")
 _ANNOTATION = re.compile(r"@(?!interface\b)[\w.$]+[ \t]*")
@@ -48,14 +47,7 @@ class Source:
         lexed = LEXERS[lang](content)
         self.comments = lexed.comments
         self.strings = dict(lexed.literals)
-        parts, at = [], 0
-        spans = sorted([(*c, True) for c in lexed.comments] + [(*x, False) for x in lexed.literals])
-        for start, end, comment in spans:
-            parts.append(content[at:start])
-            token = content[start:end]
-            parts.append(_NOT_LINE_END.sub(" ", token) if comment else '"' + _NOT_LINE_END.sub(" ", token[1:-1]) + '"' * (len(token) > 1))
-            at = end
-        self.text = "".join(parts) + content[at:]
+        self.text = blanked(content, lexed)
         self._ends = [m.start() for m in re.finditer("\n", content)]
 
     def line(self, at: int) -> int:

@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from codeloom.llm.lexing import END, ERROR, SUB
+from codeloom.functions.lexing import END, ERROR, SUB
 
 #: Strings and their results that are kept by a worker; the tables start anew when full.
 KEPT = 300_000

@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from codeloom.llm import lexing
+from codeloom.functions import lexing
 from codeloom.llm.gll import DEEPEST, GROUPS, ROOM, Dialect, Grammar, Kinds, outside_angles
-from codeloom.llm.lexing import END, ERROR, FORMATTED, REGEX, SUB, TEMPLATE
+from codeloom.functions.lexing import END, ERROR, FORMATTED, REGEX, SUB, TEMPLATE
 
 BRACE = f"[{chr(GROUPS['{'])}-{chr(GROUPS['{'] + ROOM)}]"
 PAREN = f"[{chr(GROUPS['('])}-{chr(GROUPS['('] + ROOM)}]"

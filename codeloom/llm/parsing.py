@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import grammars as G
-from codeloom.llm import lexing
+from codeloom.functions import lexing
 
 T = TypeVar("T")
 

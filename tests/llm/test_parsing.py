@@ -10,7 +10,8 @@ from pathlib import Path
 
 import pytest
 
-from codeloom.llm import docpairs, lexing, parsing
+from codeloom.functions import lexing
+from codeloom.llm import docpairs, parsing
 
 
 def accepts(text: str, lang: str) -> bool:
