@@ -149,7 +149,7 @@ def evidence(chunks: DataFrame, upstream: DataFrame) -> DataFrame:
         marked, licensed, _ = header(lines(), key[1].as_py())
         return pa.table({"repo_id": pa.array([key[0].as_py()], pa.string()), "file_path": pa.array([key[1].as_py()], pa.string()), "marked": [marked], "licensed": [licensed]})
 
-    going_on = of.where(at_start & F.col("head.on")).select(*file)
+    going_on = written(of.where(at_start & F.col("head.on")).select(*file))  # few: with their size known, they are broadcast
     whole = rows.join(going_on, file, "left_semi").groupBy(*file).applyInArrow(through, "repo_id string, file_path string, marked boolean, licensed boolean")
     of = of.join(whole, file, "left").withColumn("marked", at_start & F.coalesce("marked", "head.marked")).withColumn("licensed", at_start & F.coalesce("licensed", "head.licensed"))
     if not small:
