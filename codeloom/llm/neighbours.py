@@ -106,6 +106,7 @@ class Tree:
         self.usual = np.array([(x[r] @ c).mean() if len(r) else 1 for r, c in zip(rows, self.centres, strict=True)], np.float32)
         self.first, self.count, self.block, self.blocks = first, count, of_block, blocks
         self.leaves = {i: r for i, r in enumerate(rows) if not count[i]}
+        self.size = [len(r) * share for r in rows]
 
     def walk(self, v: np.ndarray) -> Iterator[tuple[int, float]]:
         """The leaves for a query, best bin first, each with the least similarity of a node taken so far.
@@ -127,15 +128,15 @@ class Tree:
                 heapq.heappush(heap, (-s, at))
                 at += 1
 
-    def within(self, v: np.ndarray, gap: float) -> list[int]:
-        """The leaves that a query reaches before a node must be taken that is less similar than the first leaf's way by the gap."""
+    def within(self, v: np.ndarray, gap: float, enough: float = 0) -> list[int]:
+        """The leaves that a query reaches before a node must be taken that is less similar than the first leaf's way by the gap, and that hold enough vectors."""
         heap = [(-9.0, 0)]
         first, count, centres, usual = self.first, self.count, self.centres, self.usual
         out: list[int] = []
-        least, bound = 9.0, -9.0
+        least, bound, held = 9.0, -9.0, 0.0
         while heap:
             s, node = heapq.heappop(heap)
-            if -s < bound:
+            if -s < bound and held >= enough:
                 break
             at, n = first[node], count[node]
             if n:
@@ -148,12 +149,13 @@ class Tree:
                 if not out:
                     bound = min(least, -s) - gap
                 out.append(node)
+                held += self.size[node]
         return out
 
-    def visited(self, q: np.ndarray, gap: float) -> list[list[int]]:
+    def visited(self, q: np.ndarray, gap: float, enough: float = 64) -> list[list[int]]:
         """The blocks that each query reaches, its own first."""
         block = self.block
-        return [list(dict.fromkeys([block[leaf] for leaf in self.within(v, gap)])) for v in q]
+        return [list(dict.fromkeys([block[leaf] for leaf in self.within(v, gap, enough)])) for v in q]
 
     def needed(self, q: np.ndarray, homes: list[int], of: Callable[[int], int]) -> list[float]:
         """The gap within which each query reaches the home that is given for it; of: the home that a leaf is."""
@@ -221,7 +223,7 @@ def search_block(x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, recall:
     best = np.full((len(q), k), -9, np.float32)
     ids = np.full((len(q), k), -1, np.int64)
     for start in range(0, len(q), 8192):
-        reached = [tree.within(v, gap) for v in q[start : start + 8192]]
+        reached = [tree.within(v, gap, 2 * k + 2) for v in q[start : start + 8192]]
         rows_of = np.repeat(np.arange(start, start + len(reached)), [len(r) for r in reached])
         leaf = np.fromiter(chain.from_iterable(reached), np.int64, len(rows_of))
         by = np.argsort(leaf, kind="stable")
@@ -335,8 +337,10 @@ def nearest(df: DataFrame, k: int = 5, width: int = 64, recall: float = 0.992) -
     part = min(1_000_000, int(1_000_000 * SAMPLE / max(1, total)) + 1)
     sampled = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < part).select("embedding").limit(SAMPLE).toArrow()
     sample = unit(np.asarray(sampled.column(0).combine_chunks().flatten(), np.float32).reshape(-1, width))
-    tree = Tree(sample, total / len(sample), TWIG * 8, TWIG, BLOCK)
-    q, near = truth(vectors, sample[:QUERIES], k)
+    # the queries that calibrate the walk take no part in the tree, unless there are hardly any vectors
+    held = min(QUERIES, len(sample) // 3) if len(sample) >= 16 else 0
+    tree = Tree(sample[held:], total / (len(sample) - held), TWIG * 8, TWIG, BLOCK)
+    q, near = truth(vectors, sample[:held] if held else sample, k)
     to = [v[0] for v in tree.visited(near, 0.0)]
     gap = enough(tree.needed(q, to, tree.block.__getitem__), recall)
     tree.leaves = {}  # the sample's rows, which are not needed any more
@@ -370,7 +374,8 @@ def nearest(df: DataFrame, k: int = 5, width: int = 64, recall: float = 0.992) -
     routed = written(vectors.select("id", "multi", "embedding").mapInArrow(route, ROUTED))
     home, again = [str(b) for b in to], True
     while again:
-        routed, home, again = part_again(routed, q, near, home, width, recall)
+        # what every further level misses adds up, so that each is given a smaller share
+        routed, home, again = part_again(routed, q, near, home, width, 1 - (1 - recall) / 8)
     # a block that many visit is searched in slices of its visitors, each with all vectors of the block
     sizes = routed.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / (4 * BLOCK)).cast("int").alias("slices"))
     dealt = routed.join(sizes, "block").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(5)), F.col("slices")).cast("int"))
